@@ -88,9 +88,10 @@ def text_chunks(texts: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int
         lo = hi
 
 
-def unused(base: str, columns: list[str]) -> str:
-    """``base``, with underscores before it until no column has that name (in any case of letters)."""
-    taken = {c.lower() for c in columns}
-    while base.lower() in taken:
-        base = "_" + base
-    return base
+def fenced(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
+    """``keep`` and ``made``, so that a later filter on what is made is not pushed below it.
+
+    Pushed down, the condition would have every name replaced by its expression, and arrays that functions look
+    into element by element would be built anew for each element. A generator over an array of one struct stops that.
+    """
+    return df.select(*keep, F.explode(F.array(F.struct(*made))).alias("made")).select(*keep, "made.*")

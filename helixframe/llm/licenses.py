@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import fenced, lower_ascii
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -111,8 +111,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] | None
     n_base = reduce(lambda a, b: a + b, counts)
     labels = F.array_sort(F.array_distinct(F.concat(base_labels, F.transform("places", lambda p: p["label"]))))
     best = F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0))
-    return d.select(
-        "row",
+    made = [
         F.size("words").cast("long").alias("n_words"),
         n_base.cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
@@ -121,7 +120,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] | None
         F.array_join(labels, ",").alias("labels"),
         F.when(n_base > 0, 1.0).otherwise(best).alias("score"),
         F.transform("places", lambda p: F.struct(p["label"].alias("label"), p["place"].cast("long").alias("place"))).alias("places"),
-    )
+    ]
+    return fenced(d, ["row"], made)
 
 
 def _choose(v: Column, templates: dict[str, tuple[str, str]]) -> Column:

@@ -17,7 +17,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_RUN, UPPER, write_table
+from .common import LOWER, SPACE_RUN, UPPER, fenced, write_table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -90,4 +90,5 @@ def apply_rules(docs: DataFrame, rules: dict[str, str] | None = None, sample_row
             cascade = cascade.when(F.expr(rules[name]), True)
         cascade = cascade.otherwise(False)
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return measured.withColumn("base_failed", failed).select("row", *MEASURES, "base_failed", F.when(F.col("base_failed"), False).otherwise(~cascade).alias("kept"))
+    verdict = F.when(F.col("base_failed"), False).otherwise(~cascade).alias("kept")
+    return fenced(measured.withColumn("base_failed", failed), ["row"], [*[F.col(m) for m in MEASURES], F.col("base_failed"), verdict])
