@@ -6,7 +6,7 @@ where the last one ended. The fewer phrases a text needs, the better the sample
 are normalised to bits a byte, ``phrases * log2(sample bytes) / text bytes``, and the language with the
 lowest figure wins.
 
-Texts are lower-cased and parsed as UTF-8 in lanes of ``lane_bytes`` (a phrase ends where a lane ends), so
+Texts are lower-cased, runs of ASCII other than letters become one space, and the UTF-8 bytes are parsed in lanes of ``lane_bytes`` (a phrase ends where a lane ends), so
 that one very long text is parsed as many lanes side by side; no byte is left out. All lanes and languages
 of a chunk take a step together in numpy.
 
@@ -64,11 +64,32 @@ def suffix_automaton(data: bytes) -> tuple[list[dict[int, int]], list[int], list
     return moves, link, longest
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = _LETTER[128:] = True
+
+
+def letters_only(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of lower-cased texts with each run of ASCII other than a-z as one space, and the offsets of the texts."""
+    if not len(data):
+        return data, offs
+    gap = ~_LETTER[data]
+    stay = np.ones(len(data), dtype=bool)
+    stay[1:] = ~(gap[1:] & gap[:-1])
+    stay[offs[:-1][np.diff(offs) > 0]] = True
+    kept = np.concatenate(([0], np.cumsum(stay)))
+    return np.where(gap, 32, data)[stay].astype(np.uint8), kept[offs]
+
+
+def _letters(text: bytes) -> bytes:
+    return letters_only(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[0].tobytes()
+
+
 class CrossParser:
-    """Greedy longest-match parsing of many texts against one automaton for each language."""
+    """Greedy longest-match parsing of many texts against one automaton for each language; all through letters_only."""
 
     def __init__(self, samples: dict[str, bytes], lane_bytes: int = 2048):
         self.names, self.lane_bytes = sorted(samples), lane_bytes
+        samples = {g: _letters(t) for g, t in samples.items()}
         self.bits = np.array([math.log2(max(2, len(samples[n]))) for n in self.names])
         seen = sorted({c for s in samples.values() for c in s})
         width = len(seen) + 1  # the last class is for bytes that no sample has
@@ -90,6 +111,11 @@ class CrossParser:
             base += len(moves)
         self.table = np.concatenate(tables).astype(np.int32 if base * width * 2 < 2**31 else np.int64).ravel()
 
+    def bits_per_byte(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Normalised phrase counts of each text (row) for each language (column)."""
+        data, offs = letters_only(data, offs)
+        return self.phrases(data, offs) * self.bits / np.maximum(1, np.diff(offs))[:, None]
+
     def phrases(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Phrases of each text (row) for each language (column); an empty text has none."""
         sizes, step = np.diff(offs), self.lane_bytes
@@ -118,7 +144,7 @@ class CrossParser:
 _OPEN: dict[str, CrossParser] = {}
 
 
-def language_sample(docs: DataFrame, docs_per_lang: int = 48, bytes_per_lang: int = 32_000, usual: tuple[int, int] = (300, 6000)) -> dict[str, bytes]:
+def language_sample(docs: DataFrame, docs_per_lang: int = 64, bytes_per_lang: int = 32_000, usual: tuple[int, int] = (300, 6000)) -> dict[str, bytes]:
     """At most ``bytes_per_lang`` bytes of labelled text for each language, from the lowest hashes of texts."""
     rows = docs.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", F.lower("text").alias("text"))
     rank = rows.select("lang", F.when(F.length("text").between(*usual), 0).otherwise(1).alias("odd"), F.xxhash64("text").alias("h"))
@@ -153,7 +179,7 @@ def predict_language(docs: DataFrame, samples: dict[str, bytes], keep: list[Colu
         for batch in batches:
             bits = np.full((batch.num_rows, len(parser.names)), np.inf)
             for lo, hi, data, offs in text_chunks(batch.column(len(names))):
-                bits[lo:hi] = parser.phrases(data, offs) * parser.bits / np.maximum(1, np.diff(offs))[:, None]
+                bits[lo:hi] = parser.bits_per_byte(data, offs)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *_verdicts(parser.names, bits, batch.column(len(names) + 1).to_numpy(zero_copy_only=False))], names=[*names, "lang_pred", "score", "bits_per_byte"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-2])

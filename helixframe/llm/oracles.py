@@ -64,7 +64,7 @@ m AS (SELECT w.doc_id, text, ws, len(ws)::BIGINT AS n_words, length(regexp_repla
   length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
   OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 5 * length(regexp_replace(text, '[^!]', '', 'g')) > n_words
   OR length(regexp_replace(text, '[^A-Z]', '', 'g')) > length(regexp_replace(text, '[^a-z]', '', 'g'))
   OR 10 * len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{{L}}'))) > 3 * n_words) AS kept

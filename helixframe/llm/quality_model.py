@@ -1,7 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over transformed statistics of whole texts.
 
-Statistics are counted in numpy over the UTF-8 bytes of each text and transformed (logarithms of sizes,
-square roots of shares). Each class has a Gaussian whose covariance is shrunk towards the pooled
+Statistics are counted in numpy over the UTF-8 bytes of each text and transformed: the logarithm of the mean
+word length, square roots of shares of characters, and shares of repeated words and squared shares of repeated
+3-word windows, so that a line or two that recur in a short text weigh little. Length itself is no statistic. Each class has a Gaussian whose covariance is shrunk towards the pooled
 covariance of both classes and towards a multiple of the identity; a score is the logistic function of
 the difference of log densities plus log priors. Means, Cholesky factors and log determinants are
 computed once, on the driver, from per-class counts, sums and sums of products that Spark adds up over
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import text_chunks
 from .shingles import repeated_share, word_hashes
 
-STATISTICS = ("log_words", "log_word_bytes", "upper", "symbol", "bang", "digit", "comma_stop", "bar", "lines", "repeat1", "repeat3", "high", "capitalised")
+STATISTICS = ("log_word_bytes", "upper", "symbol", "bang", "digit", "comma_stop", "bar", "lines", "repeat1", "repeat3", "high", "capitalised")
 
 #: Byte classes, each a row of the table below.
 _UPPER, _SYMBOL, _BANG, _DIGIT, _STOP, _BAR, _LINE, _SPACE, _HIGH, _LOWER, _OTHER = range(11)
@@ -48,11 +49,11 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if len(begins):
         capital = np.bincount(np.repeat(np.arange(n), np.diff(bounds)), weights=_CLASS[data[begins]] == _UPPER, minlength=n)
     share = np.stack(
-        [counts[:, _UPPER] / np.maximum(1, letters), counts[:, _SYMBOL] / total, counts[:, _BANG] / total, counts[:, _DIGIT] / total, counts[:, _STOP] / total, counts[:, _BAR] / total, counts[:, _LINE] / some, repeated_share(hashes, bounds, 1), repeated_share(hashes, bounds, 3), counts[:, _HIGH] / total, capital / some],
+        [counts[:, _UPPER] / np.maximum(1, letters), counts[:, _SYMBOL] / total, counts[:, _BANG] / total, counts[:, _DIGIT] / total, counts[:, _STOP] / total, counts[:, _BAR] / total, counts[:, _LINE] / some, repeated_share(hashes, bounds, 1) ** 2, repeated_share(hashes, bounds, 3) ** 4, counts[:, _HIGH] / total, capital / some],
         axis=1,
     )
     inside = total - counts[:, _LINE] - counts[:, _SPACE]
-    return np.column_stack([np.log1p(words), np.log1p(np.where(words > 0, inside / some, 0)), np.sqrt(share)])
+    return np.column_stack([np.log1p(np.where(words > 0, inside / some, 0)), np.sqrt(share)])
 
 
 def document_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:

@@ -25,7 +25,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: When a text goes; over the measures below and ``text``, ``words`` (null texts count as empty).
 RULES: dict[str, str] = {
     "symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
     "word_length": "word_chars > 15 * n_words OR word_chars < 2 * n_words",
     "exclamation": "5 * (length(text) - length(translate(text, '!', ''))) > n_words",
     "capitals": f"length(translate(text, '{LOWER}', '')) > length(translate(text, '{UPPER}', ''))",  # more A-Z than a-z
