@@ -30,6 +30,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one of a local run."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        root = _own_folders[app]
+    return root.rstrip("/")
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, **conf: str) -> SparkSession:
     """A local session with the settings that tests and the benchmark use."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName("helixframe")
