@@ -7,10 +7,11 @@
 3. Pairs are verified in batches of signature positions. After each batch the posterior of the similarity
    (uniform prior) is compared with the threshold, and pairs with less than ``miss`` probability of reaching it
    are pruned. What survives is verified exactly on the full shingle sets.
-4. Verified pairs are joined to components. A bucket all of whose classes are in one component is settled.
-   In the others the next pivots (16, then 256, ...) are paired with the members of other components, until
-   every two members of each bucket are in one component or have been compared. So nothing is capped, and
-   what is compared falls with what is already linked.
+4. Verified pairs are joined to components. A bucket all of whose classes are in one component is settled. The
+   members of the others are gathered by their pivot's component, and those outside it are compared, by the same
+   verification, with those inside and with one another. This is done block by block, each task holding two blocks of
+   ``block`` classes at most and giving only the links it finds. So every two classes that share a bucket end in one
+   component or have been compared; nothing is capped, and no table of pairs within groups is made.
 
 Two sets of similarity s share no band with probability ``(1 - s**rows)**bands``: 5e-8 at 0.8 with the defaults.
 ``threshold`` is a percentage, compared in integers.
@@ -27,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks, write_table
@@ -56,7 +58,7 @@ def _binary(column: pa.Array, n: int) -> np.ndarray:
 
 
 def shingle_signatures(docs: DataFrame, keep: list[Column], width: int, size: int) -> DataFrame:
-    """``keep``, n_shingles, node (digest of the set) and sig (little-endian 32-bit minima; null for an empty set)."""
+    """``keep``, n_shingles, node (digest of the set) and sig (little-endian low 16 bits of the minima; null for an empty set)."""
     src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     names = src.columns[:-1]
 
@@ -66,7 +68,7 @@ def shingle_signatures(docs: DataFrame, keep: list[Column], width: int, size: in
             n, node, sig = [], [], []
             for _, _, data, offs in text_chunks(batch.column(len(names))):
                 sets = shingle_sets(data, offs, width)
-                minima = iter(hashing.signatures([s for s in sets if len(s)]).astype("<u4", copy=False))
+                minima = iter((hashing.signatures([s for s in sets if len(s)]) & np.uint32(0xFFFF)).astype("<u2"))
                 n += [len(s) for s in sets]
                 node += [digest(s) if len(s) else None for s in sets]
                 sig += [next(minima).tobytes() if len(s) else None for s in sets]
@@ -84,7 +86,7 @@ def _prune(pairs: DataFrame, size: int, threshold: float, miss: float) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (_binary(batch.column(i), 4 * size).view("<u4") for i in (2, 3))
+            x, y = (_binary(batch.column(i), 2 * size).view("<u2") for i in (2, 3))
             live, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
             for n, least in need.items():
                 equal[live] += (x[live, n - BATCH : n] == y[live, n - BATCH : n]).sum(axis=1)
@@ -107,6 +109,15 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("nid", "text").mapInArrow(run, "nid long, shingles binary")
 
 
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of the sorted set x each of the other sets holds."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    at = np.searchsorted(x, every)
+    at[at == len(x)] = 0
+    return np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on the full sets xa and xb."""
 
@@ -115,7 +126,7 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                both = len(p) + len(q) - len(np.union1d(p, q))
+                both = int(_shared(p, [q])[0])
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
@@ -123,32 +134,100 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-class _Verifier:
-    """Bayesian pruning, then exact verification, of pairs (a, b) of classes."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, size: int, percent: int, miss: float, max_broadcast: int):
-        self.docs, self.classes, self.width, self.size, self.percent, self.miss, self.max_broadcast = docs, classes, width, size, percent, miss, max_broadcast
-
-    def __call__(self, pairs: DataFrame) -> DataFrame | None:
-        """The linked pairs, written; None if there are none."""
-        side = lambda c, s: self.classes.select(F.col("nid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s))
-        sized = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        alive = write_table(_prune(sized.select("a", "b", "sa", "sb"), self.size, self.percent / 100, self.miss), "survivors")
-        ends = alive.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-        want = write_table(self.classes.join(ends, "nid", "left_semi").select("nid", "first.doc_id", "first.text_key"), "wanted")
-        n = want.count()
-        if not n:
-            return None
-        if n <= self.max_broadcast:  # 60 bytes a row or so
-            want = F.broadcast(want)
-        texts = self.docs.join(want.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-        sets = write_table(_sets(texts.dropDuplicates(["nid"]), self.width), "sets")
-        full = lambda c: sets.select(F.col("nid").alias(c), F.col("shingles").alias(f"x{c}"))
-        linked = write_table(_confirm(alive.join(full("a"), "a").join(full("b"), "b").select("a", "b", "xa", "xb"), self.percent), "linked")
-        return linked if linked.limit(1).count() else None
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-9, max_broadcast: int = 100_000) -> DataFrame:
+def _compare(left: dict, right: dict, need: dict[int, int], percent: int) -> tuple[list[int], list[int]]:
+    """Links between classes of two blocks that lie in different components; one link is enough for two components."""
+    a, b, root = [], [], {}
+
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sizes, sigs = np.array([len(x) for x in right["set"]]), right["sig"]
+    for nid, comp, x, sig in zip(left["nid"], left["component"], left["set"], left["sig"], strict=True):
+        fits = 100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x))
+        live = np.flatnonzero(fits & (right["component"] != comp))
+        equal = np.zeros(len(live), dtype=np.int64)
+        for n, least in need.items():
+            if not len(live):
+                break
+            equal += (sigs[live, n - BATCH : n] == sig[n - BATCH : n]).sum(axis=1)
+            stay = equal >= least
+            live, equal = live[stay], equal[stay]
+        for lo in range(0, len(live), 256):  # once linked to a component, its other members need no look
+            some = [k for k in live[lo : lo + 256].tolist() if top(int(right["component"][k])) != top(int(comp))]
+            if not some:
+                continue
+            both = _shared(x, [right["set"][k] for k in some])
+            for k, n in zip(some, both.tolist(), strict=True):
+                if 100 * n >= percent * (len(x) + sizes[k] - n):
+                    a.append(int(nid))
+                    b.append(int(right["nid"][k]))
+                    root[top(int(comp))] = top(int(right["component"][k]))
+    return a, b
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(hub, o, j, right, nid, component) from (hub, nid, component): classes outside the hub against all of it, in blocks.
+
+    Outsiders are dealt to blocks o, insiders to blocks j and outsiders to further blocks j; a task (hub, o, j) has
+    block o on the left and block j on the right.
+    """
+    inside = F.col("component") == F.col("hub")
+    counts = rows.groupBy("hub").agg(F.count_if(inside).alias("m"), F.count_if(~inside).alias("k")).where("k > 0")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(block))).cast("int")
+    r = rows.join(counts, "hub").withColumn("km", blocks("m")).withColumn("ko", blocks("k"))
+    deal = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
+    all_o, all_j = F.sequence(F.lit(0), F.col("ko") - 1), F.sequence(F.lit(0), F.col("km") + F.col("ko") - 1)
+    task = lambda o, j, right: F.struct(o.cast("int").alias("o"), j.cast("int").alias("j"), F.lit(right).alias("right"))
+    as_inside = F.transform(all_o, lambda o: task(o, deal("km"), True))
+    as_outside = F.concat(F.transform(all_j, lambda j: task(deal("ko"), j, False)), F.transform(all_o, lambda o: task(o, F.col("km") + deal("ko"), True)))
+    return r.select("hub", "nid", "component", F.explode(F.when(inside, as_inside).otherwise(as_outside)).alias("t")).select("hub", "t.*", "nid", "component")
+
+
+def _compare_blocks(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) found by the tasks of rows (hub, o, j, right, nid, component, sig, shingles)."""
+    need = least_matches(percent / 100, size, miss)
+
+    def side(t: pa.Table, right: bool) -> dict:
+        t = t.filter(pa.compute.equal(t["right"], right))
+        return {
+            "nid": t["nid"].to_numpy(),
+            "component": t["component"].to_numpy(),
+            "sig": _binary(t["sig"], 2 * size).view("<u2"),
+            "set": [np.frombuffer(v.as_buffer(), dtype="<u8") for v in t["shingles"]],
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            left, right = side(t, False), side(t, True)
+            a, b = _compare(left, right, need, percent) if len(left["nid"]) and len(right["nid"]) else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:  # sorted by task; a task's rows may go on in the next batch
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(keys[lo].tolist())
+                if held and key != last:
+                    yield flush()
+                    held = []
+                last = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield flush()
+
+    return rows.repartition("hub", "o", "j").sortWithinPartitions("hub", "o", "j").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-9, block: int = 2048, max_broadcast: int = 100_000) -> DataFrame:
     """doc_id, text_key (md5 of the text), n_shingles, component_id and winner for every row of ``docs``.
 
     ``component_id`` is the smallest id of the row's group. ``winner`` is the struct (doc_id, text_key) of the one
@@ -161,58 +240,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     signed = write_table(shingle_signatures(docs, [F.col("doc_id"), F.col("text_key")], width, size), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("node").agg(F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("first"))
     classes = write_table(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")  # the ids are fixed by the written table
-    band = lambda i: F.xxhash64(i, F.substring("sig", i * 4 * rows + 1, F.lit(4 * rows)))
+    band = lambda i: F.xxhash64(i, F.substring("sig", i * 2 * rows + 1, F.lit(2 * rows)))
     banded = classes.select("nid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("nid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = write_table(banded.join(shared, "key"), "members")
-
-    verify = _Verifier(docs, classes, width, size, percent, miss, max_broadcast)
-    tested = write_table(members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct(), "pairs")
-    links, comp, seen, step = None, None, 1, 16
-    fresh = verify(tested)
-    while True:
-        if fresh is not None:
-            links = fresh if links is None else links.unionByName(fresh)
-            comp = write_table(connected_components(links), "components")
-        open_ = _open_buckets(members, comp, seen)
-        largest = open_.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        pairs = _next_pairs(open_, seen, seen + step).join(tested, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        tested = tested.unionByName(pairs)
-        seen, step = seen + step, step * 16
-        fresh = verify(pairs)
-        if fresh is None and largest <= seen + 1:
-            break
+    shared = banded.groupBy("key").agg(F.min("nid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = write_table(banded.join(shared, "key").select("pivot", "nid", "key"), "members")
+    sets = _member_sets(docs, classes, members, width, max_broadcast)
+
+    pairs = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
+    side = lambda c, s: classes.select(F.col("nid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s))
+    sized = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    alive = write_table(_prune(sized.select("a", "b", "sa", "sb"), size, percent / 100, miss), "survivors")
+    full = lambda c: sets.select(F.col("nid").alias(c), F.col("shingles").alias(f"x{c}"))
+    links = write_table(_confirm(alive.join(full("a"), "a").join(full("b"), "b").select("a", "b", "xa", "xb"), percent), "linked")
+    comp = write_table(connected_components(links), "components")
+
+    open_ = _open_members(members, comp)
+    more = _compare_blocks(_blocks(open_, block).join(classes.select("nid", "sig"), "nid").join(sets, "nid").select("hub", "o", "j", "right", "nid", "component", "sig", "shingles"), size, percent, miss)
+    more = write_table(more, "more_links")
+    if more.limit(1).count():
+        comp = write_table(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     return _labelled(signed, classes, comp)
 
 
-def _open_buckets(members: DataFrame, comp: DataFrame | None, seen: int) -> DataFrame:
-    """(key, nid, component, n) of buckets that are not yet settled by their first ``seen`` members and lie in two components or more."""
-    rows = members.where(F.col("n") > seen + 1)  # the last member has no later one.select("key", "nid", "n")
-    if comp is None:
-        rows = rows.withColumn("component", F.col("nid"))
-    else:
-        rows = rows.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return write_table(rows.join(mixed, "key", "left_semi"), "open_buckets")
+def _member_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, max_broadcast: int) -> DataFrame:
+    """(nid, shingles) of every class that shares a bucket, from one of its texts."""
+    want = classes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    want = write_table(want, "wanted")
+    if want.count() <= max_broadcast:  # some 60 bytes a row
+        want = F.broadcast(want)
+    texts = docs.join(want, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    return write_table(_sets(texts.dropDuplicates(["nid"]), width), "sets")
 
 
-def _next_pairs(rows: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Distinct pairs of the bucket's members number lo + 1 to hi, by id, with later members of other components."""
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("nid"))
-    pivots = rows.select("key", F.col("nid").alias("a"), F.col("component").alias("ca"), nth.alias("nth")).where(F.col("nth") <= hi).where(F.col("nth") > lo).drop("nth")
-    return rows.join(pivots, "key").where("nid > a AND component <> ca").select("a", F.col("nid").alias("b")).distinct()
+def _open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Distinct (hub, nid, component) of buckets that lie in two components or more; hub: the pivot's component."""
+    label = comp.withColumnRenamed("node", "nid")
+    rows = members.join(label, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    hub = members.select(F.col("pivot").alias("nid")).distinct().join(label, "nid", "left").select(F.col("nid").alias("pivot"), F.coalesce("component", "nid").alias("hub"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return write_table(rows.join(mixed, "key", "left_semi").join(hub, "pivot").select("hub", "nid", "component").distinct(), "open_members")
 
 
-def _labelled(signed: DataFrame, classes: DataFrame, comp: DataFrame | None) -> DataFrame:
-    label = classes.select("node", "nid", "least_id", "first")
-    if comp is None:
-        label = label.withColumn("component", F.col("nid"))
-    else:
-        label = label.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    label = write_table(label, "labels")
+def _labelled(signed: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    label = classes.select("node", "nid", "least_id", "first").join(comp.withColumnRenamed("node", "nid"), "nid", "left")
+    label = write_table(label.withColumn("component", F.coalesce("component", "nid")), "labels")
     group = label.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("first").alias("winner"))
     by_set = write_table(label.join(group, "component").select("node", "component_id", "winner"), "groups")
     return signed.select("doc_id", "text_key", "n_shingles", "node").join(by_set, "node", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "winner")
