@@ -110,8 +110,8 @@ def pack(docs: DataFrame, seq_len: int = 4096, end_id: int = 2, tokenizer_path:
         coder: WordTokens = tokens(path)
         packer = _Packer(TaskContext.get().partitionId(), seq_len, block_tokens, linear, quadratic)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
                 for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
                     packer.add(doc_id, ids + end)
             yield packer.take()
