@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import workspace
+from ..session import shared_folder
 from .tokens import default_path, tokens
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -57,8 +57,8 @@ def token_deltas(rows: DataFrame, tokenizer_path: str | None = None, version: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, docs, total = tokens(path), Counter(), Counter()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                source, lang, text, sign = (c.to_pylist() for c in batch.slice(lo, 500).columns)
+            for lo in range(0, batch.num_rows, 2000):
+                source, lang, text, sign = (c.to_pylist() for c in batch.slice(lo, 2000).columns)
                 for s, g, ids, k in zip(source, lang, coder.encode(text), sign, strict=True):
                     docs[s, g] += k
                     total[s, g] += k * (len(ids) // 4)
@@ -81,7 +81,7 @@ class TokenRollup:
     """Totals kept in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, (path or f"{workspace(spark)}/rollup-{uuid.uuid4().hex}").rstrip("/")
+        self.spark, self.path = spark, (path or f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}").rstrip("/")
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
