@@ -4,11 +4,13 @@ A text is cut at blanks, line feeds and tabs only. The tokenizer's own pattern n
 so ids of the pieces, one after another, are the ids of the text; words recur, so most pieces come from the cache.
 Texts without characters beyond U+024F are lower-cased first (the tokenizer does that itself) and have a comma or full
 stop between a letter and white space cut off (the tokenizer's pattern cuts there too), which makes for fewer different
-pieces. ``encode`` returns ids as little-endian unsigned 32-bit bytes.
+pieces. Words that are new and made of lower-case Latin letters alone, which the tokenizer neither normalises nor cuts, are
+encoded many at a time by the same model without those steps; the ids that end a word tell them apart. ``encode`` returns ids as little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -25,6 +27,7 @@ def default_path(name: str = WORD_BPE) -> str:
 
 
 _FAR = re.compile("[^\x00-\u024f]").search
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 _STOPS = re.compile(r"(?<=[a-z])([,.])(?=[ \n])").sub
 
 
@@ -39,6 +42,16 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare, self.ends = None, np.zeros(0, dtype=bool)
+        spec = json.loads(self.tokenizer.to_str())
+        if spec["model"].get("end_of_word_suffix") == "</w>":
+            spec["normalizer"] = None
+            byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}
+            self.bare = Tokenizer.from_str(json.dumps(spec))
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.max_words, self.max_word_chars, self.max_chars = max_words, max_word_chars, max_chars
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -56,6 +69,12 @@ class WordTokens:
                 part, size = [], 0
         return out + self._encode(part)
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.bare.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [(t if _FAR(t) else _STOPS(r" \1", t.lower())).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.young) > self.max_words:
@@ -66,7 +85,12 @@ class WordTokens:
             young[w] = self.old[w]
         unknown = list(missing - young.keys())
         if unknown:
-            for w, code in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False), strict=True):
+            plain = [w for w in unknown if _PLAIN(w)] if self.bare else []
+            for lo in range(0, len(plain), 500):
+                some = plain[lo : lo + 500]
+                young.update(zip(some, self._plain(some), strict=True))
+            other = [w for w in unknown if w not in young]
+            for w, code in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
                 young[w] = np.array(code.ids, dtype="<u4").tobytes()
         get = young.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
