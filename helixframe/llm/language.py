@@ -101,15 +101,18 @@ class CrossParser:
             start = np.full(width, -1, dtype=np.int64)
             for c, q in moves[0].items():
                 start[self.classes[c]] = q
-            # no way on: the phrase ends, and the byte begins the next one (a byte unknown to the sample is a phrase of its own)
-            fresh = np.where(start >= 0, ((start + base) * width) << 1 | 1, (base * width) << 1 | 1)
+            # no way on: the phrase ends, and the byte begins the next one; a byte unknown to the sample is a phrase of
+            # its own, after which the parse is at the start again. The low two bits count the phrases that end.
+            fresh = np.where(start >= 0, ((start + base) * width) << 2 | 1, (base * width) << 2 | 2)
             t = np.tile(fresh, (len(moves), 1))
+            t[0] = np.where(start >= 0, t[0], (base * width) << 2 | 1)
             at = np.array([(s, self.classes[c], q) for s, m in enumerate(moves) for c, q in m.items()], dtype=np.int64).reshape(-1, 3)
-            t[at[:, 0], at[:, 1]] = ((at[:, 2] + base) * width) << 1
+            t[at[:, 0], at[:, 1]] = ((at[:, 2] + base) * width) << 2
             tables.append(t)
             self.roots.append(base * width)
             base += len(moves)
-        self.table = np.concatenate(tables).astype(np.int32 if base * width * 2 < 2**31 else np.int64).ravel()
+        every = np.concatenate(tables) if tables else np.zeros((1, width))
+        self.table = every.astype(np.int32 if base * width * 4 < 2**31 else np.int64).ravel()
 
     def bits_per_byte(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Normalised phrase counts of each text (row) for each language (column)."""
@@ -133,11 +136,12 @@ class CrossParser:
         for t in range(int(size[0]) if len(size) else 0):
             n = live[t]
             move = self.table[state[:, :n] + classes[begin[:n] + t]]
-            count[:, :n] += move & 1
-            state[:, :n] = move >> 1
+            count[:, :n] += move & 3
+            state[:, :n] = move >> 2
         out = np.zeros((len(sizes), len(self.names)))
         for k in range(len(self.names)):
-            out[:, k] = np.bincount(text, weights=count[k] + 1, minlength=len(sizes))  # and the phrase that the lane's end cuts
+            cut = state[k] != self.roots[k]  # a phrase that the lane's end cuts
+            out[:, k] = np.bincount(text, weights=count[k] + cut, minlength=len(sizes))
         return out
 
 
