@@ -19,7 +19,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.where(crc_mod(F.col("doc_id"), 3) != 1).join(labels.where("label IN (0, 1)"), "doc_id").select("doc_id", "label", "text")
     model = quality_model.fit(quality_model.document_statistics(known, [F.col("label")]))
     packed = docs.select(F.struct("*").alias("row"), "text")
-    return quality_model.score(quality_model.document_statistics(packed, [F.col("row")]), model, ["row"]).where("score >= 0.5").select("row.*")
+    return quality_model.score_documents(packed, model, [F.col("row")]).where("score >= 0.5").select("row.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

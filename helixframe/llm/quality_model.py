@@ -124,6 +124,22 @@ def fit(rows: DataFrame, label: str = "label", pooled: float = 0.2, ridge: float
     return Discriminant(mean, factor, offset)
 
 
+def score_documents(docs: DataFrame, model: Discriminant, keep: list[Column]) -> DataFrame:
+    """``keep`` and score for every row of ``docs`` (column ``text``), statistics and score in one pass of one worker."""
+    src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    names = src.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.zeros(batch.num_rows)
+            for lo, hi, data, offs in text_chunks(batch.column(len(names))):
+                z[lo:hi] = model.scores(statistics(data, offs))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(z)], names=[*names, "score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    return src.mapInArrow(run, f"{fields}, score double")
+
+
 def score(rows: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
     """``keep`` and score for every row that has columns s_*."""
     src = rows.select(*keep, *[f"s_{c}" for c in STATISTICS])

@@ -27,7 +27,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64; kept up to the usual chunk size."""
     if _powers and len(_powers[0]) >= n:
         return _powers
-    size = max(n, (1 << 21) + 4096)
+    size = max(n, (1 << 20) + 4096)
     tables = []
     for b in (_BASE, _BACK):
         p = np.full(size, np.uint64(b), dtype=np.uint64)
