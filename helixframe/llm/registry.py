@@ -18,15 +18,21 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer version.
 
     Three batches: all documents are inserted; toxic ones are deleted; clean ones of label 0 are revised (runs of blanks and
-    symbols cut). The first batch is sent twice and counts once.
+    symbols cut). The first batch is sent twice and counts once. Each text, and its revision where that differs, is
+    counted where it is read; labels meet ids and counts only.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
-    marked = docs.join(labels.where("toxic = 1 OR quality = 0"), "doc_id")
+    symbols = r"[#*$%&|<>!]+"
+    docs = table(spark, sf_dir, "documents")
+    differs = F.coalesce(F.col("text").rlike(symbols), F.lit(False))
+    texts = {"n_tokens": F.col("text"), "new_n_tokens": F.when(differs, F.regexp_replace("text", symbols, ""))}
+    counted = token_counts.count_tokens(docs, [F.col("doc_id"), F.col("source"), F.col("lang"), differs.alias("differs")], texts)
+    counted = write_table(counted.withColumn("new_n_tokens", F.expr("if(differs, new_n_tokens, n_tokens)")), "token_counts")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min("quality").alias("quality"))
+    marked = counted.join(labels.where("toxic = 1 OR quality = 0"), "doc_id")
     toxic = marked.where("toxic = 1").withColumn("op", F.lit("delete"))
-    revised = marked.where("quality = 0 AND coalesce(toxic, 0) <> 1").withColumn("op", F.lit("revise")).withColumn("old_text", F.col("text")).withColumn("text", F.regexp_replace("text", r"[#*$%&|<>!]+", ""))
+    revised = marked.where("quality = 0 AND toxic <> 1").select("source", "lang", F.col("n_tokens").alias("old_n_tokens"), F.col("new_n_tokens").alias("n_tokens"), F.lit("revise").alias("op"))
     rollup = token_counts.TokenRollup(spark)
-    first = docs.withColumn("op", F.lit("insert"))
+    first = counted.withColumn("op", F.lit("insert"))
     for batch, changes in (("insert", first), ("delete-toxic", toxic), ("revise-junk", revised), ("insert", first)):
         if not rollup.committed(batch):
             rollup.apply(batch, token_counts.token_deltas(token_counts.signed(changes)))

@@ -1,14 +1,15 @@
 """Delta-maintained token totals by source, language and tokenizer version.
 
-A batch of changes becomes signed rows: an insert adds its document and tokens, a delete takes them
-away, a revision takes the old text away and adds the new one. The signed rows are summed per key
-inside the tasks that tokenise, so what is shuffled and stored is one row per task and key. A batch is
-committed by renaming its finished folder to ``batch=<id>``: the rename is atomic, and a batch whose
+Texts are counted where they are read (:func:`count_tokens`), and all further steps carry counts, never texts: a
+join that says which documents go or change shuffles ids and counts. A batch of counted changes becomes signed rows: an
+insert adds its document and tokens, a delete takes them away, a revision takes the old count away and adds the new
+one. Signed rows are summed per key before the shuffle, so what is shuffled and stored is one row per task and key. A
+batch is committed by renaming its finished folder to ``batch=<id>``: the rename is atomic, and a batch whose
 folder exists is skipped, so a batch may be sent again at any time. Totals are the sums of all
 committed batches and never need the documents again.
 
-Defined cases: null text has no tokens; null source or language is a key of its own; repeated rows count
-once each; keys whose documents and tokens have all been taken away vanish from the totals; an empty
+Defined cases: null text, and a null count, has no tokens; null source or language is a key of its own; repeated rows
+count once each; keys whose documents and tokens have all been taken away vanish from the totals; an empty
 batch is committed and changes nothing; other columns are not read. Unknown operations raise.
 """
 
@@ -16,11 +17,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -30,51 +30,56 @@ KEYS = ("source", "lang", "tokenizer_version")
 DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
 
 
+def count_tokens(rows: DataFrame, keep: list[Column], texts: dict[str, Column], tokenizer_path: str | None = None) -> DataFrame:
+    """``keep``, and for each of ``texts`` a column of its name with the tokens of that text (0 if null)."""
+    path = tokenizer_path or default_path()
+    src = rows.select(*keep, *[t.cast("string").alias(n) for n, t in texts.items()])
+    kept, n_texts = len(keep), len(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokens(path)
+        for batch in batches:
+            counts: list[list[int]] = [[] for _ in range(n_texts)]
+            for lo in range(0, batch.num_rows, 2000):
+                for out, column in zip(counts, batch.slice(lo, 2000).columns[kept:], strict=True):
+                    out += [len(ids) // 4 for ids in coder.encode(column.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *[pa.array(c, pa.int64()) for c in counts]], names=batch.schema.names)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:kept]] + [f"`{n}` long" for n in texts]
+    return src.mapInArrow(run, ", ".join(fields))
+
+
 def signed(changes: DataFrame) -> DataFrame:
-    """(source, lang, text, sign) of rows with ``op`` insert, delete or revise.
+    """(source, lang, d_docs, d_tokens) of rows with ``op`` insert, delete or revise.
 
-    ``text`` is the new text, and for a delete the text that goes. A revision has ``old_text`` and may
-    have ``old_source`` and ``old_lang`` where those change too.
+    ``n_tokens`` is the count of the new text, and for a delete of the text that goes. A revision has ``old_n_tokens``
+    and may have ``old_source`` and ``old_lang`` where those change too.
     """
     have = set(changes.columns)
     old = [F.col(f"old_{c}") if f"old_{c}" in have else F.col(c) for c in ("source", "lang")]
-    old_text = F.col("old_text") if "old_text" in have else F.lit(None).cast("string")
-    row = lambda s, g, t, sign: F.struct(s.cast("string").alias("source"), g.cast("string").alias("lang"), t.cast("string").alias("text"), F.lit(sign).alias("sign"))
-    new = lambda sign: row(F.col("source"), F.col("lang"), F.col("text"), sign)
+    old_n = F.col("old_n_tokens") if "old_n_tokens" in have else F.lit(0)
+    row = lambda s, g, n, sign: F.struct(s.cast("string").alias("source"), g.cast("string").alias("lang"), F.lit(sign).alias("d_docs"), (sign * F.coalesce(n.cast("long"), F.lit(0))).alias("d_tokens"))
+    new = lambda sign: row(F.col("source"), F.col("lang"), F.col("n_tokens"), sign)
     parts = (
         F.when(F.col("op") == "insert", F.array(new(1)))
         .when(F.col("op") == "delete", F.array(new(-1)))
-        .when(F.col("op") == "revise", F.array(row(*old, old_text, -1), new(1)))
+        .when(F.col("op") == "revise", F.array(row(*old, old_n, -1), new(1)))
         .otherwise(F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce(F.col("op"), F.lit("null")))))
     )
     return changes.select(F.explode(parts).alias("r")).select("r.*")
 
 
-def token_deltas(rows: DataFrame, tokenizer_path: str | None = None, version: str = "word_bpe_49k") -> DataFrame:
+def token_deltas(rows: DataFrame, version: str = "word_bpe_49k") -> DataFrame:
     """Signed documents and tokens of each key, from rows of :func:`signed`."""
-    path = tokenizer_path or default_path()
+    keyed = rows.select("source", "lang", F.lit(version).alias("tokenizer_version"), "d_docs", "d_tokens")
+    return keyed.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, docs, total = tokens(path), Counter(), Counter()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                source, lang, text, sign = (c.to_pylist() for c in batch.slice(lo, 2000).columns)
-                for s, g, ids, k in zip(source, lang, coder.encode(text), sign, strict=True):
-                    docs[s, g] += k
-                    total[s, g] += k * (len(ids) // 4)
-            if len(docs) > 10_000:  # keys are few as a rule; a task holds so many at most
-                yield _deltas(docs, total, version)
-                docs, total = Counter(), Counter()
-        yield _deltas(docs, total, version)
-
-    summed = rows.select("source", "lang", "text", "sign").mapInArrow(run, DELTA)
-    return summed.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-
-
-def _deltas(docs: Counter, total: Counter, version: str) -> pa.RecordBatch:
-    keys = list(docs)
-    columns = [[k[0] for k in keys], [k[1] for k in keys], [version] * len(keys), [docs[k] for k in keys], [total[k] for k in keys]]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2, strict=True)], names=["source", "lang", "tokenizer_version", "d_docs", "d_tokens"])
+
+def count_changes(changes: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """Changes that carry ``text`` (and ``old_text``) as changes that carry counts, for :func:`signed`."""
+    texts = {n: F.col(t) for n, t in (("n_tokens", "text"), ("old_n_tokens", "old_text")) if t in changes.columns}
+    keep = [F.col(c) for c in ("op", "source", "lang", "old_source", "old_lang") if c in changes.columns]
+    return count_tokens(changes, keep, texts, tokenizer_path)
 
 
 class TokenRollup:

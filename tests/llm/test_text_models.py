@@ -1,5 +1,6 @@
 """Packing, token counts, language identification, quality classifier."""
 
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import language, packing, quality_model, token_counts
+from helixframe.llm import language, packing, quality_model, registry, token_counts
 from helixframe.llm.common import lane_arrays
 from helixframe.llm.tokens import WordTokens, default_path
 
@@ -64,21 +65,38 @@ def test_rollup(spark, tmp_path):
     d = docs(spark, ["a b c", "a b c", None, "hello there"], source=["s", "s", None, "t"], lang=["en", "en", "fr", None])
     r = token_counts.TokenRollup(spark, "file://" + str(tmp_path / "r"))
     assert r.totals().count() == 0
-    new = token_counts.token_deltas(token_counts.signed(d.withColumn("op", F.lit("insert"))))
+    deltas = lambda changes: token_counts.token_deltas(token_counts.signed(token_counts.count_changes(changes)))
+    new = deltas(d.withColumn("op", F.lit("insert")))
     assert r.apply("one", new) and not r.apply("one", new)
     want = {("s", "en"): (2, 6), (None, "fr"): (1, 0), ("t", None): (1, 2)}
     total = lambda: {(x.source, x.lang): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
     assert total() == want
     change = spark.createDataFrame([("s", "en", "a b c", None, "delete"), ("t", None, "hello", "hello there", "revise")], "source string, lang string, text string, old_text string, op string")
-    assert r.apply("two", token_counts.token_deltas(token_counts.signed(change)))
+    assert r.apply("two", deltas(change))
     assert total() == {("s", "en"): (1, 3), (None, "fr"): (1, 0), ("t", None): (1, 1)}
     gone = change.limit(1)
-    assert r.apply("three", token_counts.token_deltas(token_counts.signed(gone))) and ("s", "en") not in total()
-    assert r.apply("empty", token_counts.token_deltas(token_counts.signed(change.limit(0))))
+    assert r.apply("three", deltas(gone)) and ("s", "en") not in total()
+    assert r.apply("empty", deltas(change.limit(0)))
     with pytest.raises(ValueError):
         r.apply("../x", new)
     with pytest.raises(Exception, match="unknown operation"):
-        token_counts.signed(d.withColumn("op", F.lit("drop"))).collect()
+        deltas(d.withColumn("op", F.lit("drop"))).collect()
+
+
+def test_rollup_query_equals_brute_force(spark):
+    sf_dir = DOCS.rsplit("/", 1)[0]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    coder, want = WordTokens(default_path()), {}
+    for r in spark.read.parquet(DOCS).collect():
+        mark, text = labels.get(r.doc_id), r.text or ""
+        if mark and mark.toxic == 1:
+            continue
+        if mark and mark.quality == 0:
+            text = re.sub(r"[#*$%&|<>!]+", "", text)
+        n = want.setdefault((r.source, r.lang), [0, 0])
+        n[0], n[1] = n[0] + 1, n[1] + len(coder.encode([text])[0]) // 4
+    got = registry.queries()["op1_token_rollup"](spark, sf_dir).collect()
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got} == want and len(got) == len(want)
 
 
 def test_parsing_is_longest_match():
