@@ -51,18 +51,20 @@ def sequence_info(contigs: DataFrame, sequence_id: int) -> DataFrame:
     return info
 
 
-def map_global(contigs: DataFrame, positions: DataFrame) -> DataFrame:
+def map_global(contigs: DataFrame, positions: DataFrame, span: int = 1 << 16) -> DataFrame:
     """(global_pos, length) to contig-local (sequence_id, position); places that leave their contig vanish.
 
-    Contigs are metadata rows and are looked up as an as-of join: the last offset at or before the place.
+    An as-of join, the last offset at or before the place, within spans of ``span`` symbols: a contig has a row in each
+    span that it or its separator reaches, so places anywhere in the text are looked up span by span.
     """
-    offsets = contig_offsets(contigs).select(F.col("global_offset").alias("at"), F.lit(0).alias("kind"), "sequence_id", F.col("length").alias("size"), F.lit(None).cast("long").alias("length"))
-    places = positions.select(F.col("global_pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("size"), F.col("length").cast("long").alias("length"))
-    w = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    start = F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(w)
-    r = offsets.unionByName(places).select("at", "kind", "length", last("sequence_id").alias("sequence_id"), last("size").alias("size"), start.alias("start")).where("kind = 1")
-    return r.where("at - start + length <= size").select(F.col("at").alias("global_pos"), "length", "sequence_id", (F.col("at") - F.col("start")).alias("position"))
+    span_of = lambda c: F.floor(c / span)
+    reach = F.sequence(span_of(F.col("global_offset")), span_of(F.col("global_offset") + F.col("length")))
+    offsets = contig_offsets(contigs).select(F.explode(reach).alias("span"), F.col("global_offset").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("length"), F.struct("sequence_id", F.col("global_offset").alias("start"), F.col("length").alias("size")).alias("contig"))
+    place = F.col("global_pos").cast("long")
+    places = positions.select(span_of(place).alias("span"), place.alias("at"), F.lit(1).alias("kind"), F.col("length").cast("long").alias("length"), F.lit(None).cast(offsets.schema["contig"].dataType).alias("contig"))
+    w = Window.partitionBy("span").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    r = offsets.unionByName(places).select("at", "kind", "length", F.last("contig", ignorenulls=True).over(w).alias("contig")).where("kind = 1")
+    return r.where("at - contig.start + length <= contig.size").select(F.col("at").alias("global_pos"), "length", "contig.sequence_id", (F.col("at") - F.col("contig.start")).alias("position"))
 
 
 def logical_text(contigs: DataFrame) -> DataFrame:

@@ -118,6 +118,7 @@ def sql() -> dict[str, str]:
         "sequence_info": off + "SELECT * FROM off WHERE sequence_id = 3",
         "contig_offsets": off + "SELECT * FROM off",
         "map_global": off + "SELECT g::BIGINT AS global_pos, 10::BIGINT AS length, sequence_id, (g - global_offset)::BIGINT AS position FROM range(0, 40000, 7) r(g) JOIN off ON g >= global_offset AND g + 10 <= global_offset + length",
+        "map_global_all": off + "SELECT g::BIGINT AS global_pos, 10::BIGINT AS length, sequence_id, (g - global_offset)::BIGINT AS position FROM (SELECT unnest(range(0, (SELECT sum(length) + count(*) + 1 FROM off)::BIGINT)) AS g) JOIN off ON g >= global_offset AND g + 10 <= global_offset + length",
         "tsv_roundtrip": off + "SELECT sequence_id, name, NULL::VARCHAR AS description, length, global_offset, ambiguous_bases FROM off",
         "index_roundtrip": off + "SELECT * FROM off",
         "pattern_valid": "SELECT p_partkey, regexp_matches(translate(p_name, ' abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACG'), '^[ACGTacgt]+$') AS valid FROM part",

@@ -39,6 +39,12 @@ def _reference_queries() -> dict[str, Query]:
         places = s.range(0, 40_000, 7).select(F.col("id").alias("global_pos"), F.lit(10).cast("long").alias("length"))
         return reference.map_global(c, places)
 
+    def map_global_all(s: SparkSession, d: str) -> DataFrame:
+        c = fx.reference(s, d)
+        symbols = reference.reference_stats(c).first()["text_symbols"]
+        places = s.range(symbols).select(F.col("id").alias("global_pos"), F.lit(10).cast("long").alias("length"))
+        return reference.map_global(c, places)
+
     def tsv(s: SparkSession, d: str) -> DataFrame:
         path = _scratch(s, "tsv")
         c = reference.contig_offsets(fx.reference(s, d)).withColumn("description", F.lit(None).cast("string"))
@@ -60,6 +66,7 @@ def _reference_queries() -> dict[str, Query]:
         "sequence_info": lambda s, d: reference.sequence_info(fx.reference(s, d), 3),
         "contig_offsets": lambda s, d: reference.contig_offsets(fx.reference(s, d)),
         "map_global": map_global,
+        "map_global_all": map_global_all,
         "tsv_roundtrip": tsv,
         "index_roundtrip": lambda s, d: tables.load_index(s, saved(s, d))["offsets"],
         "inspect": lambda s, d: tables.inspect_index(s, saved(s, d)),

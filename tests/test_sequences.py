@@ -10,6 +10,7 @@ from helixframe import cli
 from helixframe.errors import EngineError
 from helixframe.functions import dna
 from helixframe.operators import exact, index, kmers, maximal, reference
+from helixframe.plans import fixtures, registry
 from helixframe.sources import fasta, tables
 from helixframe.streaming.queries import for_each_match, search_stream
 
@@ -47,6 +48,27 @@ def test_core_reference(spark):
     assert reference.fingerprint(c).first()["fingerprint"] == f"{h:016x}"
 
 
+def test_map_global_of_every_place(spark):
+    seqs = ["ACGT" * 9, "A", "CC", "GATTACA" * 20, "C" * 33]
+    c, want, start = contigs(spark, seqs), [], 0
+    for i, s in enumerate(seqs):
+        want += [(start + p, n, i, p) for n in (1, 10) for p in range(len(s) - n + 1)]
+        start += len(s) + 1
+    at = spark.range(-3, start + 5).selectExpr("id AS global_pos", "explode(array(1L, 10L)) AS length")
+    for span in (1, 7, 1 << 16):
+        assert rows(reference.map_global(c, at, span)) == sorted(want)
+
+
+def test_map_global_all_asks_for_the_whole_text(spark):
+    d = "/root/testdata/sf0.1"
+    c = fixtures.reference(spark, d)
+    got = registry.queries()["map_global_all"](spark, d)
+    # one row for each place that has ten bases of its contig, in every contig up to the last
+    want = {r["sequence_id"]: r["length"] - 9 for r in c.where("length >= 10").collect()}
+    assert {r["sequence_id"]: r["count"] for r in got.groupBy("sequence_id").count().collect()} == want
+    assert got.agg(F.max("global_pos")).first()[0] > 40_000
+
+
 @pytest.mark.parametrize("bad", [[], [("", "A")], [("a", "")], [("a", "A"), ("a", "C")]])
 def test_bad_references(spark, bad):
     df = spark.createDataFrame([(i, n, "", s) for i, (n, s) in enumerate(bad)], "seq_order long, name string, description string, sequence string")
