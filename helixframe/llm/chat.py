@@ -38,17 +38,17 @@ def clean_turns(conversations: DataFrame, block: int) -> DataFrame:
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the conversations that are no proper prefix of another, one of each set of equal ones."""
     h = lambda seed: F.xxhash64(F.lit(seed), "place", "role", "text")
-    at = turns.select("conv_id", "block", "place", h(1).alias("h1"), h(2).alias("h2")).groupBy("conv_id", "block", "place").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.count(F.lit(1)).alias("n"))
-    at = write_table(at, "turn_hashes")
-    whole = at.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("n").alias("n"))
+    inside = Window.partitionBy("conv_id", "block").orderBy("place", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    at = turns.select("conv_id", "block", "place", "role", "text", h(1).alias("h1"), h(2).alias("h2"))
+    at = at.select("conv_id", "block", "h1", "h2", F.bit_xor("h1").over(inside).alias("p1"), F.bit_xor("h2").over(inside).alias("p2"), F.count(F.lit(1)).over(inside).alias("pn"))
+    rolled = write_table(at, "turn_hashes")
+    whole = rolled.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = whole.select("conv_id", "block", F.coalesce(F.bit_xor("h1").over(earlier), F.lit(0)).alias("b1"), F.coalesce(F.bit_xor("h2").over(earlier), F.lit(0)).alias("b2"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("bn"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = at.select("conv_id", "block", "place", F.bit_xor("h1").over(inside).alias("p1"), F.bit_xor("h2").over(inside).alias("p2"), F.sum("n").over(inside).alias("pn"))
     base = base.withColumnsRenamed({"conv_id": "_c", "block": "_b"})
-    last = at.groupBy("conv_id").agg(F.max("place").alias("last_place")).withColumnRenamed("conv_id", "_d")
-    prefix = rolled.join(base, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).join(last, F.col("conv_id").eqNullSafe(F.col("_d")))
-    prefix = write_table(prefix.select("conv_id", (F.col("place") == F.col("last_place")).alias("is_last"), F.col("p1").bitwiseXOR(F.col("b1")).alias("p1"), F.col("p2").bitwiseXOR(F.col("b2")).alias("p2"), (F.col("pn") + F.col("bn")).alias("n")), "prefixes")
+    total = whole.groupBy("conv_id").agg(F.sum("n").alias("total")).withColumnRenamed("conv_id", "_d")
+    prefix = rolled.join(base, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).join(total, F.col("conv_id").eqNullSafe(F.col("_d")))
+    prefix = write_table(prefix.select("conv_id", (F.col("pn") + F.col("bn") == F.col("total")).alias("is_last"), F.col("p1").bitwiseXOR(F.col("b1")).alias("p1"), F.col("p2").bitwiseXOR(F.col("b2")).alias("p2"), (F.col("pn") + F.col("bn")).alias("n")), "prefixes")
     finals = prefix.where("is_last").groupBy("p1", "p2", "n").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     proper = prefix.where("NOT is_last").select("p1", "p2", "n").distinct()
     return finals.join(proper, ["p1", "p2", "n"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")

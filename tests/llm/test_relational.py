@@ -152,6 +152,25 @@ def test_chat(spark):
     assert chat.format_chats(d.limit(0)).count() == 0
 
 
+def test_chat_snapshots_that_end_within_a_turn(spark):
+    x, y, z = (0, "user", "x"), (0, "user", "y"), (None, None, None)
+    snapshots = {1: [x], 2: [x, y], 3: [y], 4: [z], 5: [z, (None, "user", None)], 6: [y, (0, "assistant", "x")], 7: [(3, "user", "x"), (3, "user", "y"), (4, "user", "z")]}
+    rng = random.Random(5)
+    for c in range(8, 80):
+        rows = sorted({(rng.randrange(4), rng.choice(["assistant", "user"]), rng.choice("ab")) for _ in range(rng.randrange(1, 7))})
+        snapshots[c] = rows[: rng.randrange(1, len(rows) + 1)]
+    clean = {}
+    for c, rows in snapshots.items():
+        turns = sorted({(t or 0, r or "unknown", x or "") for t, r, x in rows})
+        clean[c] = [(t - turns[0][0], r, x) for t, r, x in turns]
+    want = {c for c, a in clean.items() if not any(len(b) > len(a) and b[: len(a)] == a or b == a and o < c for o, b in clean.items())}
+    assert not want & {1, 2, 4} and {3, 5, 6, 7} - want <= {3, 6}
+    d = spark.createDataFrame([(c, *r) for c, rows in snapshots.items() for r in rows], "conv_id long, turn long, role string, text string")
+    for block in (2, 256):
+        got = {(r.conv_id, r.n_turns, r.n_copies) for r in chat.format_chats(d, block=block).collect()}
+        assert got == {(c, len(clean[c]), sum(b == clean[c] for b in clean.values())) for c in want}
+
+
 def brute_rules(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
