@@ -10,7 +10,7 @@ Texts are lower-cased, runs of ASCII other than letters become one space, and th
 that one very long text is parsed as many lanes side by side; no byte is left out. All lanes and languages
 of a chunk take a step together in numpy.
 
-The sample: ``docs_per_lang`` documents of each language, those with the lowest hash among documents of a
+The sample: ``docs_per_lang`` documents of different texts of each language, those with the lowest hash among documents of a
 usual length first, and at most ``bytes_per_lang`` bytes of their text. These are the only bounds, and
 they concern training alone.
 
@@ -152,8 +152,10 @@ def language_sample(docs: DataFrame, docs_per_lang: int = 64, bytes_per_lang: in
     """At most ``bytes_per_lang`` bytes of labelled text for each language, from the lowest hashes of texts."""
     rows = docs.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", F.lower("text").alias("text"))
     rank = rows.select("lang", F.when(F.length("text").between(*usual), 0).otherwise(1).alias("odd"), F.xxhash64("text").alias("h"))
-    by = Window.partitionBy("lang").orderBy("odd", "h")
-    keys = rank.withColumn("r", F.row_number().over(by)).where(F.col("r") <= docs_per_lang).select("lang", "h", "r")
+    rank = rank.groupBy("lang", "h").agg(F.min("odd").alias("odd"))  # exact copies take one place
+    lowest = lambda d, *by: d.withColumn("r", F.row_number().over(Window.partitionBy("lang", *by).orderBy("odd", "h"))).where(F.col("r") <= docs_per_lang)
+    part = lowest(rank.withColumn("part", F.pmod("h", F.lit(32))), "part")  # the lowest of each part first: no task has a language's texts
+    keys = lowest(part).select("lang", "h", "r")
     share = max(1, bytes_per_lang // docs_per_lang)
     texts = (
         rows.withColumn("h", F.xxhash64("text"))

@@ -132,6 +132,16 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict_language(d.limit(3), {}, [F.col("doc_id")]).collect()} == {"und"}
 
 
+def test_exact_copies_take_one_place_of_the_sample(spark):
+    texts = [f"text {chr(97 + i)} " + "word " * 80 for i in range(12)]
+    rows = [("en", t) for t in texts for _ in range(100)] + [("de", "ein Wort")] * 90
+    samples = language.language_sample(spark.createDataFrame(rows, "lang string, text string"), docs_per_lang=10)
+    assert len(set(re.findall(rb"text \w word", samples["en"]))) == 10
+    assert samples["de"].strip() == b"ein wort"
+    once = language.language_sample(spark.createDataFrame(sorted(set(rows)), "lang string, text string"), docs_per_lang=10)
+    assert once == samples
+
+
 def test_quality_model(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     x = quality_model.document_statistics(d.join(labels, "doc_id"), [F.col("doc_id"), F.col("quality").alias("label")])
