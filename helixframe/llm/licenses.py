@@ -1,6 +1,6 @@
 """Licence scan with a positional index of rare words, in DataFrame operations only.
 
-Templates are short licence notices. Document frequencies of their words are counted over all texts; the
+Templates are short licence notices and the opening words of standard bodies; a label may have several. Document frequencies of their words are counted over all texts; the
 ``rare`` words of the highest inverse document frequency of each template (words it holds once) form a
 positional index: word -> (template, place). A text's indexed words are looked up, each giving (template, place in the
 text less place in the template). A template is a candidate where ``need`` of its rare words agree on the place, and
@@ -35,15 +35,51 @@ BASE = {"cc-by": ("cc by", 0), "gpl": ("general public license", 1), "reserved":
 TEMPLATES = {
     "agpl-3.0": ("licensed under the gnu affero general public license version 3", "affero general public license"),
     "apache-2.0": ("licensed under the apache license version 2 0", "apache license"),
+    "bsd-2-clause": ("released under the bsd 2 clause license", "bsd 2 clause"),
     "bsd-3-clause": ("released under the bsd 3 clause license", "bsd 3 clause"),
-    "cc-by-4.0": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    "cc-by-4.0": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    "cc-by-nc-4.0": ("cc by nc 4 0", "cc by nc 4 0"),
     "cc0-1.0": ("dedicated to the public domain under the creative commons cc0 1 0 universal license", "creative commons cc0"),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", "gnu general public license"),
+    "gpl-2.0": ("licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    "isc": ("released under the isc license", "isc license"),
+    "lgpl-2.1": ("licensed under the gnu lesser general public license version 2 1", "lesser general public license version 2 1"),
+    "lgpl-3.0": ("licensed under the gnu lesser general public license version 3", "lesser general public license version 3"),
     "mit": ("released under the mit license", "mit license"),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software"),
 }
 
+_GNU = "redistribute it and or modify it under the terms of the {0} as published by the free software foundation either version {1} of the license"
+
+
+def _gnu(name: str, version: str) -> tuple[str, str]:
+    notice = _GNU.format(f"gnu {name}general public license", version)
+    return notice, notice[notice.index(f"gnu {name}") :]
+
+
+#: label -> further notices of it: the standard bodies
+BODIES = {
+    "agpl-3.0": [_gnu("affero ", "3")],
+    # the heading that all BSD licences share
+    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms")],
+    # the disclaimer follows the second condition
+    "bsd-2-clause": [("in the documentation and or other materials provided with the distribution this software is provided by the", "provided with the distribution this software is provided by")],
+    "bsd-3-clause": [("contributors may be used to endorse or promote products derived from this software without specific prior written permission", "used to endorse or promote products derived from this software without specific prior written permission")],
+    "cc-by-nc-4.0": [("licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"), ("licensed under a creative commons attribution non commercial 4 0 international license", "creative commons attribution non commercial 4 0")],
+    "gpl-2.0": [_gnu("", "2")],
+    "gpl-3.0": [_gnu("", "3")],
+    "isc": [(f"permission to use copy modify {both} distribute this software for any purpose with or without fee is hereby granted", f"permission to use copy modify {both} distribute this software for any purpose") for both in ("and or", "and")],
+    "lgpl-2.1": [_gnu("lesser ", "2 1")],
+    "lgpl-3.0": [_gnu("lesser ", "3")],
+    "mit": [("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge to any person obtaining a copy")],
+}
+
+
+def notices(templates: dict[str, tuple[str, str]], bodies: dict[str, list[tuple[str, str]]]) -> dict[str, tuple[str, str]]:
+    """All notices by name: the label, and for bodies ``label#n``."""
+    return templates | {f"{label}#{n}": t for label, ts in bodies.items() for n, t in enumerate(ts, 1)}
+
 
 def split_words(col: Column) -> Column:
     return F.filter(F.split(lower_ascii(col), WORD_GAP), lambda w: w != "")
@@ -87,7 +123,7 @@ def _any(labels: list[tuple[Column, str]]) -> Column:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None, base: dict[str, tuple[str, int]] | None = None, rare: int = 3, need: int = 2) -> DataFrame:
     """row, n_words, n_base, first_word, last_word, base_labels, labels, score and places (struct label, place) for every row."""
-    templates, base = templates or TEMPLATES, base or BASE
+    templates, base = templates or notices(TEMPLATES, BODIES), base or BASE
     index = rare_words(templates, document_frequencies(docs, sorted({w for n, _ in templates.values() for w in n.split()})), rare)
     anchors = sorted(set(index) | {p.split()[k] for p, k in base.values()})
     d = docs.select(F.struct("*").alias("row"), lower_ascii(_text(docs)).alias("low"))
@@ -133,4 +169,4 @@ def _choose(v: Column, templates: dict[str, tuple[str, str]]) -> Column:
         in_place = reduce(lambda a, b: a + b, [F.when(F.get("words", v["place"] + j) == w, 1).otherwise(0) for j, w in enumerate(words)])
         sure = F.when(v["label"] == label, _stands(must, v["place"] + at)).otherwise(sure)
         share = F.when(v["label"] == label, in_place / F.lit(float(len(words)))).otherwise(share)
-    return F.struct(v["label"].alias("label"), v["place"].alias("place"), sure.alias("sure"), share.alias("share"))
+    return F.struct(F.substring_index(v["label"], "#", 1).alias("label"), v["place"].alias("place"), sure.alias("sure"), share.alias("share"))

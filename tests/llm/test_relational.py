@@ -228,6 +228,34 @@ def test_licenses(spark):
     assert licenses.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_license_bodies_and_versions(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Retain the notice. 2. Reproduce it in the documentation and/or other materials provided with the distribution. "
+    third = "3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    end = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AS IS"
+    gnu = "you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License"
+    want = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc-4.0",
+        "Licensed under the GNU General Public License, version 2.": "gpl,gpl-2.0",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl,gpl-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl-2.1",
+        "Released under the BSD 2-Clause License": "bsd-2-clause",
+        "Released under the ISC License": "isc",
+        "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal": "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        bsd + end: "bsd,bsd-2-clause",
+        bsd + third + end: "bsd,bsd-3-clause",
+        gnu.format("", 2): "gpl,gpl-2.0",
+        gnu.format("", 3): "gpl,gpl-3.0",
+        gnu.format("Lesser ", "2.1"): "gpl,lgpl-2.1",
+        gnu.format("Affero ", 3): "agpl-3.0,gpl",
+        "permission to use the forms with or without a fee": "",
+    }
+    got = licenses.scan_licenses(docs(spark, list(want))).collect()
+    assert {r.row.text: r.labels for r in got} == want
+
+
 def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     step, seen = d, []
