@@ -141,6 +141,7 @@ def sql() -> dict[str, str]:
         "prefix_directory": _with(_REF, _TEXT, _SA) + f"SELECT {_KEY.format('w')} AS key, min(\"row\") AS begin, max(\"row\") + 1 AS \"end\" FROM (SELECT translate(substr(t, suffix + 1, 8), '2345', 'ACGT') AS w, \"row\" FROM sa, txt WHERE regexp_matches(substr(t, suffix + 1, 8), '^[2345]{{8}}$')) GROUP BY w".replace("{{8}}", "{8}"),
         "suffix_array": index + 'SELECT "row", suffix FROM sa',
         "suffix_at": index + 'SELECT "row", suffix FROM sa WHERE "row" IN (0, 1, 17, 400)',
+        "suffix_at_ranges": _with(_REF, _TEXT, _SA, _PAT, _SAHIT) + 'SELECT "row", suffix FROM sa WHERE "row" IN (SELECT "row" FROM hit)',
         "sampled_sa": index + 'SELECT row_number() OVER (ORDER BY "row") - 1 AS "row", suffix FROM sa WHERE suffix % 4 = 0',
         "sampled_count": _hits("forward") + _COUNT,
         "isa": index + 'SELECT suffix AS position, "row" FROM sa',

@@ -141,11 +141,18 @@ def _index_queries() -> dict[str, Query]:
         at = reference.map_global(c, found.select(F.col("suffix").alias("global_pos"), F.lit(1).cast("long").alias("length")).distinct())
         return found.join(at, F.col("suffix") == F.col("global_pos")).select("query_id", "sequence_id", "position")
 
+    def suffix_at_ranges(c: DataFrame, t: DataFrame, sa: DataFrame, p: DataFrame) -> DataFrame:
+        pieces = F.expr("explode(sequence(begin, end - 1, 65536L))")  # no array holds a whole long range
+        ranges = index.equal_range(c, sa, p).where("end > begin").select("begin", "end").distinct().select("end", pieces.alias("low"))
+        asked = ranges.select(F.explode(F.expr("sequence(low, least(end, low + 65536) - 1)")).alias("row")).distinct()
+        return sa.join(asked, "row")
+
     return {
         "equal_range": named(lambda c, t, sa, p: index.equal_range(c, sa, p)),
         "prefix_directory": named(lambda c, t, sa, p: index.prefix_directory(c, sa)),
         "suffix_array": named(lambda c, t, sa, p: sa),
         "suffix_at": named(lambda c, t, sa, p: sa.where("row IN (0, 1, 17, 400)")),
+        "suffix_at_ranges": named(suffix_at_ranges),
         "sampled_sa": named(lambda c, t, sa, p: index.sampled_suffix_array(sa, RATE)),
         "sampled_count": named(lambda c, t, sa, p: index.sampled_count(c, index.sampled_suffix_array(sa, RATE), RATE, p)),
         "isa": named(lambda c, t, sa, p: index.inverse_suffix_array(sa)),

@@ -69,6 +69,16 @@ def test_map_global_all_asks_for_the_whole_text(spark):
     assert got.agg(F.max("global_pos")).first()[0] > 40_000
 
 
+def test_suffix_at_ranges_looks_up_the_rows_of_all_patterns(spark):
+    d = "/root/testdata/sf0.001"
+    got = rows(registry.queries()["suffix_at_ranges"](spark, d).select("row", "suffix"))
+    text = reference.logical_text(fixtures.reference(spark, d)).first()["text"]
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    asked = tuple({r["pattern"].upper().translate(str.maketrans("ACGT", "2345")) for r in fixtures.patterns(spark, d).collect()})
+    assert got == [(r, i) for r, i in enumerate(order) if text.startswith(asked, i)]
+    assert len(got) > 4
+
+
 @pytest.mark.parametrize("bad", [[], [("", "A")], [("a", "")], [("a", "A"), ("a", "C")]])
 def test_bad_references(spark, bad):
     df = spark.createDataFrame([(i, n, "", s) for i, (n, s) in enumerate(bad)], "seq_order long, name string, description string, sequence string")
