@@ -111,7 +111,7 @@ def sql() -> dict[str, str]:
     ref, off = _with(_REF), _with(_REF, _OFF)
     index = _with(_REF, _TEXT, _SA)
     out = {
-        "fasta_scan": ref + "SELECT name, 'passage' AS description, s AS sequence FROM ref",
+        "fasta_scan": ref + "SELECT name, 'passage > of text' AS description, s AS sequence FROM ref",
         "normalize_reference": "SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS sequence, (length(text) - length(regexp_replace(text, '[^ACGTacgt]', '', 'g')))::BIGINT AS ambiguous_bases FROM documents",
         "logical_text": _with(_REF, _TEXT) + _LAST,
         "reference_stats": off + "SELECT count(*) AS sequence_count, sum(length)::BIGINT AS total_bases, sum(ambiguous_bases)::BIGINT AS ambiguous_bases, (sum(length) + count(*) + 1)::BIGINT AS text_symbols FROM off",

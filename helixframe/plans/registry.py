@@ -26,7 +26,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 def _reference_queries() -> dict[str, Query]:
     def fasta_scan(s: SparkSession, d: str) -> DataFrame:
         path = _scratch(s, "fasta")
-        line = F.concat(F.lit(">"), F.col("name"), F.lit(" passage\n"), F.col("sequence"))
+        line = F.concat(F.lit(">"), F.col("name"), F.lit(" passage > of text\n"), F.col("sequence"))
         fx.records(s, d).select(line.alias("value")).write.text(path)
         return fasta.read_fasta(s, path).select("name", "description", "sequence")
 

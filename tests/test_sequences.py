@@ -196,6 +196,41 @@ def test_fasta_and_tables(spark, tmp_path):
         tables.read_manifest(spark, path + "-none")
 
 
+ODD_FASTA = [
+    ">s1 len>5 copy\nACGT\n",
+    "\n\r\n>a>b > c\nAC GT\n\n>>x\n\n>y\tz  w \r\nA\r\nC\r\n>",
+    ">n" * 40 + "\nACGT>N\n" + ">m text\n" + ("ACGTACGT\n" * 30) + ">last\nA",
+    ">only",
+]
+
+
+@pytest.mark.parametrize("split", [13, 1 << 20])
+def test_both_fasta_readers_on_odd_files(spark, tmp_path, split):
+    spark.dataSource.register(fasta.FastaDataSource)
+    want = []
+    for i, text in enumerate(ODD_FASTA):
+        (tmp_path / f"{i}.fa").write_text(text, newline="")
+        want += [r[1:] for r in fasta.parse_fasta(io.StringIO(text, newline="\n"))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert rows(fasta.read_fasta(spark, str(tmp_path))) == [(i, *r) for i, r in enumerate(want)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert want[0] == ("s1", "len>5 copy", "ACGT") and want[1] == ("a>b", "> c", "AC GT") and ("y", "z  w ", "AC") in want
+    assert sorted(tuple(r)[1:] for r in spark.read.format("fasta").load(str(tmp_path)).collect()) == sorted(want)
+
+
+def test_fasta_errors(spark, tmp_path):
+    (tmp_path / "lead.fa").write_text("ACGT\n>a\nA\n")
+    with pytest.raises(Exception, match="before the first header"):
+        fasta.read_fasta(spark, str(tmp_path / "lead.fa")).collect()
+    with pytest.raises(EngineError) as e:
+        fasta.read_fasta(spark, str(tmp_path / "none.fa"))
+    assert e.value.code == "io_error"
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "r.fa").write_text(">r0\nTTGATTACAGGACGTACGT\n>r1\nCCCCAAAATTTT\n")
     (tmp_path / "q.fa").write_text(">q0\nGATTACA\n")
