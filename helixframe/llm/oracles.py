@@ -24,10 +24,11 @@ WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'u
 p AS (SELECT *, turn - min(turn) OVER (PARTITION BY conv_id) AS place FROM t),
 c AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(place || chr(1) || role || chr(2) || text || chr(3), '' ORDER BY place, role, text) AS s FROM p GROUP BY conv_id),
 u AS (SELECT min(conv_id) AS conv_id, n_turns, s, count(*)::BIGINT AS n_copies FROM c GROUP BY n_turns, s),
-k AS (SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.n_turns > a.n_turns AND substr(b.s, 1, length(a.s)) = a.s))
-SELECT p.conv_id, (place // 256)::BIGINT AS chunk, k.n_turns, count(*)::BIGINT AS chunk_turns, k.n_copies,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY place, role, text) AS text
-FROM p JOIN k USING (conv_id) GROUP BY p.conv_id, place // 256, k.n_turns, k.n_copies
+k AS (SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.n_turns > a.n_turns AND substr(b.s, 1, length(a.s)) = a.s)),
+r AS (SELECT p.*, k.n_turns, k.n_copies, (row_number() OVER (PARTITION BY conv_id ORDER BY place, role, text) - 1) AS at FROM p JOIN k USING (conv_id))
+SELECT conv_id, (at // 256)::BIGINT AS chunk, n_turns, count(*)::BIGINT AS chunk_turns, n_copies,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY at) AS text
+FROM r GROUP BY conv_id, at // 256, n_turns, n_copies
 """
 
 _OP5 = """
