@@ -138,6 +138,21 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0), mixing.source_rates(d.limit(0), None)).count() == 0
 
 
+def test_mixing_weights(spark):
+    d = spark.createDataFrame([(i, "x" * 10, "ab"[i % 2]) for i in range(2000)], "doc_id long, text string, source string")
+    weights = lambda *w: spark.createDataFrame(list(w), "source string, weight double")
+    rate = lambda w, **o: {r.source: round(r.rate, 9) for r in mixing.source_rates(d, w, **o).collect()}
+    assert rate(weights(("a", 0.5), ("a", 0.5), ("b", 1.0))) == rate(weights(("a", 1.0), ("b", 1.0))) == {"a": 1.0, "b": 1.0}
+    twice = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", None)], "source string, rate double")
+    assert sorted(map(tuple, mixing.mix(d, twice).collect())) == sorted(map(tuple, mixing.mix(d, spark.createDataFrame([("a", 1.0)], "source string, rate double")).collect()))
+    assert rate(weights(("a", None)), default_weight=2.0) == {"a": 1.0, "b": 1.0}
+    for bad in (weights(("a", 1.0), ("b", -1.0)), weights(("a", 0.0)), weights(("elsewhere", 1.0)), weights(("a", float("nan"))), weights(("a", float("inf")))):
+        with pytest.raises(ValueError):
+            mixing.source_rates(d, bad)
+    long_ = spark.createDataFrame([(1, "w " * 400_000, "a")], "doc_id long, text string, source string")
+    assert mixing.mix(long_, spark.createDataFrame([("a", 5.0)], "source string, rate double")).select(F.length("text")).distinct().collect() == [(800_000,)]
+
+
 def test_chat(spark):
     a = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho")]
     rows = a + [(2, *r[1:]) for r in a] + [(2, 2, "user", "more")] + [(3, 5, "user", "hi")] + [(4, *r[1:]) for r in a + [(1, 2, "user", "more")]] + [(5, None, None, None)] * 2 + [(None, 0, "user", "no id"), (6, 0, "user", "HI")]
@@ -171,6 +186,15 @@ def test_chat_snapshots_that_end_within_a_turn(spark):
         assert got == {(c, len(clean[c]), sum(b == clean[c] for b in clean.values())) for c in want}
 
 
+def test_chat_chunks_by_position(spark):
+    cols = "conv_id long, turn long, role string, text string"
+    one_turn = spark.createDataFrame([(1, 0, "user", f"{i:05}") for i in range(700)] + [(None, None, None, f"x{i:05}") for i in range(600)] + [(2, 9, "user", f"{i:05}") for i in range(300)], cols)
+    got = sorted(((r.conv_id or 0, r.chunk, r.chunk_turns, r.n_turns, r.text) for r in chat.format_chats(one_turn).collect()))
+    assert [g[:4] for g in got] == [(0, 0, 256, 600), (0, 1, 256, 600), (0, 2, 88, 600), (1, 0, 256, 700), (1, 1, 256, 700), (1, 2, 188, 700)]
+    line = lambda i: f"<|im_start|>user\n{i:05}<|im_end|>"
+    assert [g[4] for g in got[3:]] == ["\n".join(map(line, range(lo, min(700, lo + 256)))) for lo in (0, 256, 512)]  # conversation 2 is a prefix of it
+
+
 def brute_rules(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -188,10 +212,27 @@ def test_rules(spark):
         assert tuple(r)[1:7] == brute_rules(texts[r.row.doc_id]), texts[r.row.doc_id]
         n = r.n_words
         assert r.base_failed == (n < 50 or 100 * r.n_repeat_words > 50 * n) and not (r.base_failed and r.kept)
-    one = {name: {r.row.doc_id for r in quality_rules.apply_rules(d, {name: rule}).where("NOT kept").collect()} for name, rule in quality_rules.RULES.items()}
-    assert {r.row.doc_id for r in got.where("NOT kept").collect()} == set().union(*one.values())
+    one = {name: {r.row.doc_id for r in quality_rules.apply_rules(d, {name: rule}, least_words=0).where("NOT kept").collect()} for name, rule in quality_rules.RULES.items()}
+    assert {r.row.doc_id for r in got.where("NOT kept").collect()} == {r.row.doc_id for r in got.where("base_failed").collect()}.union(*one.values())
     assert quality_rules.apply_rules(d.limit(0)).count() == 0
     assert got.where("kept").select("row.*").columns == d.columns
+    bad = {i for i, t in enumerate(texts) for n, _, _, _, _, repeat in [brute_rules(t)] if n < 1 or 100 * repeat > 50 * n}
+    stay = quality_rules.reject_rules(d)
+    assert stay.columns == d.columns and {r.doc_id for r in stay.collect()} == set(range(len(texts))) - bad - set().union(*one.values())
+    assert {r.doc_id for r in quality_rules.reject_rules(d, least_words=50).collect()} == {r.row.doc_id for r in got.where("kept").collect()}
+    assert quality_rules.reject_rules(d.limit(0)).count() == 0
+
+
+def test_rule_order_is_counted(spark):
+    """The order comes from rejections and steps of hashed rows of the whole table, whatever the row order and the run."""
+    clean, odd = "some words that stand here " * 12, "# * $ % & | < > " * 20
+    d = spark.createDataFrame([(i, clean if i < 900 else odd) for i in range(1000)], "doc_id long, text string").repartition(3)
+    rules = {"capitals": quality_rules.RULES["capitals"], "symbols": quality_rules.RULES["symbols"], "no_letters": quality_rules.RULES["no_letters"]}
+    for measured in (False, True):
+        orders = {tuple(quality_rules.order_rules(x, rules, measured, 500)) for x in (d, d.orderBy("doc_id"), d.orderBy(F.desc("doc_id")), d.repartition(7))}
+        assert orders == {("symbols", "no_letters", "capitals")}
+    costly = {"cheap": quality_rules.few_words(1000), "costly": quality_rules.REPEATED_WINDOWS}
+    assert quality_rules.order_rules(d, dict(reversed(costly.items())), False) == ["cheap", "costly"]
 
 
 def brute_licenses(texts, rare=3, need=2):
