@@ -45,10 +45,27 @@ def test_packing_round_trip(spark):
     for pieces in map(sorted, by_seq.values()):
         assert [o for o, _ in pieces] == list(np.cumsum([0] + [n for _, n in pieces])[:-1])
         sizes.append(sum(n for _, n in pieces))
-    assert max(sizes) <= 4096 and sum(n < 4096 for n in sizes) <= 12
+    assert max(sizes) <= 4096 and sum(n < 4096 for n in sizes) <= 1
     assert packing.pack(docs(spark, []).limit(0)).count() == 0
 
 
+def test_packing_pads_alike_in_any_number_of_partitions(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    d = d.unionByName(d.limit(30))  # repeated rows
+    sizes = []
+    for parts in (1, 64, 211):
+        got = packing.pack(d.repartition(parts)).cache()
+        seqs = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("lo"))
+        r = seqs.agg(F.count("*").alias("seqs"), F.sum("n").alias("ids"), F.max("n").alias("most"), F.expr("count_if(n <> end OR lo <> 0)").alias("gaps"), F.expr("count_if(n < 4096)").alias("padded")).first()
+        assert r.most == 4096 and not r.gaps and r.padded <= 1 + parts // 256
+        assert 1 - r.ids / (4096 * r.seqs) < 0.01
+        sizes.append(r.ids)
+        per_doc = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"), F.countDistinct("start").alias("starts"), F.count("*").alias("k"))
+        assert per_doc.where("n % m <> 0").count() == 0 and per_doc.where("n = m AND starts <> k").count() == 0
+        got.unpersist()
+    assert len(set(sizes)) == 1
+
+
 def test_packing_balances_cost():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 4096, size=300)
