@@ -105,19 +105,60 @@ def test_topk(spark):
         assert sorted(tuple(r) for r in topk.top_k(d, F.col("vec_id") % 20 == 0, block_rows=block, batch_queries=5).collect()) == want
     assert topk.top_k(d.limit(0), F.lit(True)).count() == 0
     few = topk.threshold_topk(np.array([1]), np.array([[1, -2]]), np.array([1, 2, 3]), np.array([[9, 9], [2, 1], [2, 1]]), 20)
-    assert [x.tolist() for x in few] == [[0, 0], [2, 3], [0, 0]]
-
-
-def test_stops_before_all_rows():
-    rows = np.concatenate([np.full((50, 4), 100), np.zeros((4000, 4), dtype=int)])
-    met = []
-    real = np.lexsort
-    try:
-        topk.np.lexsort = lambda keys, axis: (met.append(keys[0].shape[1]), real(keys, axis))[1]
-        at, ids, score = topk.threshold_topk(np.array([-1]), np.array([[1, 1, 1, 1]]), np.arange(4050), rows, 5, first_depth=8)
-    finally:
-        topk.np.lexsort = real
-    assert ids.tolist() == [0, 1, 2, 3, 4] and score.tolist() == [400] * 5 and sum(met) < 1000
+    assert [x.tolist() for x in few[:3]] == [[0, 0], [2, 3], [0, 0]]
+
+
+def brute_topk(x, ids, asked, k):
+    out = {}
+    for i in asked:
+        best = sorted((-int(x[i] @ x[j]), int(ids[j])) for j in range(len(x)) if ids[j] != ids[i])[:k]
+        out[int(ids[i])] = [(j, -s) for s, j in best]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["few dimensions", "unequal dimensions", "even dimensions", "long list ties"])
+def test_threshold_stops_where_the_bound_lets_it(shape):
+    rng = np.random.default_rng(6)
+    n, k = 3000, 10
+    x = {
+        "few dimensions": rng.integers(-60, 60, (n, 2)),
+        "unequal dimensions": np.round(rng.normal(size=(n, 24)) * 200 * 0.4 ** np.arange(24)).astype(np.int64),
+        "even dimensions": rng.integers(-20, 20, (n, 64)),
+        "long list ties": rng.integers(0, 2, (n, 5)),
+    }[shape]
+    ids, asked = rng.permutation(n), np.arange(0, n, 100)
+    want = brute_topk(x, ids, asked, k)
+    for floors in (None, np.array([want[int(ids[i])][-1][1] for i in asked]), np.full(len(asked), 10**9)):
+        scored = []
+        for i, f in zip(asked, [None] * len(asked) if floors is None else floors, strict=True):
+            _, got, score, work = topk.threshold_topk(ids[[i]], x[[i]], ids, x, k, 16, None if f is None else np.array([f]))
+            found = list(zip(got.tolist(), score.tolist(), strict=True))
+            assert f == 10**9 or found == want[int(ids[i])]
+            scored.append(work[0, 0] / n)
+        share = float(np.mean(scored))
+        if shape == "even dimensions":
+            assert f == 10**9 or share > 0.9  # nothing to spare there, and none is left out
+        elif shape != "long list ties":
+            assert share < (0.35 if floors is None else 0.3)
+    together = topk.threshold_topk(ids[asked], x[asked], ids, x, k, 16)
+    assert {int(ids[asked[r]]): [] for r in together[0]}.keys() == want.keys()
+    for r, j, s in zip(*together[:3], strict=True):
+        assert (int(j), int(s)) in want[int(ids[asked[r]])]
+
+
+def test_floors_of_the_first_block_spare_rows_of_the_others(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(4000, 16)) * 3 * 0.3 ** np.arange(16), 3).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    options = {"k": 5, "block_rows": 500, "batch_queries": 20, "first_depth": 8}
+    q = np.floor(64 * x.astype(float)).astype(np.int64)
+    want = brute_topk(q, np.arange(len(q)), range(0, 4000, 400), 5)
+    got = {}
+    for r in sorted(topk.top_k(d, F.col("vec_id") % 400 == 0, **options).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    work = topk.search_work(d, F.col("vec_id") % 400 == 0, **options).first()
+    assert work.queries == 10 and work.scored < 0.5
 
 
 def test_mixing(spark):
