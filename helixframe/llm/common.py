@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_folder
 
@@ -87,3 +88,23 @@ def fenced(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
     into element by element would be built anew for each element. A generator over an array of one struct stops that.
     """
     return df.select(*keep, F.explode(F.array(F.struct(*made))).alias("made")).select(*keep, "made.*")
+
+
+def arrow_columns(df: DataFrame, keep: list[Column], read: list[Column], made: str, compute: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]]) -> DataFrame:
+    """``keep``, and the columns of the DDL ``made`` that a function computes from Arrow arrays of ``read``, batch by batch.
+
+    ``compute`` gives the function and is called once in each task. What is kept travels as one struct, so that its names clash
+    with none of ours; a kept column with the name of one that is made is refused (ValueError).
+    """
+    src = df.select(F.struct(*keep).alias("kept"), *[c.alias(f"read{i}") for i, c in enumerate(read)])
+    fields, kept = T.StructType.fromDDL(made), src.schema["kept"]
+    clash = {f.name.lower() for f in kept.dataType.fields} & {f.name.lower() for f in fields}
+    if clash:
+        raise ValueError(f"kept columns have names of made ones: {sorted(clash)}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = compute()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *function(batch.columns[1:])], names=["kept", *fields.names])
+
+    return src.mapInArrow(run, T.StructType([kept, *fields])).select("kept.*", *fields.names)

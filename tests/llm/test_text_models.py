@@ -170,3 +170,65 @@ def test_quality_model(spark):
     assert all(0 <= r.score <= 1 for r in quality_model.score(odd, model, ["doc_id"]).collect())
     assert {r.score for r in quality_model.score(odd, quality_model.fit(x.limit(0)), ["doc_id"]).collect()} == {0.5}
     assert {r.score for r in quality_model.score(odd, quality_model.fit(x.where("label = 1")), ["doc_id"]).collect()} == {1.0}
+
+
+def test_discriminant_by_brute_force(spark):
+    """Moments, factors, powers and scores against covariances, densities and cross-validation written out."""
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 2, 600)
+    raw = np.column_stack([4 + rng.random(600), *[np.clip(rng.beta(2 + 3 * (j % 3 == 0) * y, 20), 0, 1) for j in range(11)]])
+    raw[:50] = raw[50:100]  # repeated rows
+    y[:50] = y[50:100]
+    cols = quality_model.COLUMNS
+    d = spark.createDataFrame([(int(i), int(q), "x", *map(float, v)) for i, (q, v) in enumerate(zip(y, raw, strict=True))], ", ".join(["doc_id long, label int, half string", *[f"{c} double" for c in cols]])).repartition(5)
+    half = {r.doc_id: r.h for r in d.select("doc_id", F.expr(f"pmod(xxhash64({', '.join(cols)}), 2)").alias("h")).collect()}
+    half = np.array([half[i] for i in range(600)])
+
+    def gaussians(z, q, pooled=0.2, ridge=0.02):
+        k, out = z.shape[1], []
+        cov = [np.cov(z[q == c].T, bias=True) for c in (0, 1)]
+        n = [(q == c).sum() for c in (0, 1)]
+        both = (n[0] * cov[0] + n[1] * cov[1]) / len(q)
+        for c in (0, 1):
+            w = 0.8 * n[c] / (n[c] + 5 * k)
+            out.append((z[q == c].mean(axis=0), (1 - ridge) * (w * cov[c] + (1 - w) * both) + ridge * np.trace(both) / k * np.eye(k), n[c] / len(q)))
+        return out
+
+    def score(model, z):
+        logs = [np.log(prior) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(s), z - m) for m, s, prior in model]
+        return 1 / (1 + np.exp(logs[0] - logs[1]))
+
+    def by_hand(powers):
+        z = raw ** powers[0]
+        z[:, [8, 9]] = raw[:, [8, 9]] ** powers[1]
+        z[:, 0] = np.log(1 + raw[:, 0])
+        return z
+
+    errors = []
+    for powers in quality_model.POWERS:
+        z, share = by_hand(powers), np.zeros(2)
+        bad = np.zeros(600, dtype=bool)
+        for h in (0, 1):
+            bad[half == h] = (score(gaussians(z[half != h], y[half != h]), z[half == h]) >= 0.5) != (y[half == h] == 1)
+        errors.append(np.mean([bad[y == c].mean() for c in (0, 1)]))
+    model = quality_model.fit(d)
+    assert model.powers == quality_model.POWERS[int(np.argmin(errors))]
+    want = gaussians(by_hand(model.powers), y)
+    for m, f, (mean, cov, _) in zip(model.mean, model.factor, want, strict=True):
+        assert np.allclose(m, mean) and np.allclose(f @ f.T, cov) and np.allclose(np.triu(f, 1), 0)
+    got = {r.doc_id: r.score for r in quality_model.score(d, model, ["doc_id", "half"]).collect()}
+    assert np.allclose([got[i] for i in range(600)], score(want, by_hand(model.powers)), atol=1e-9)
+    right = rng.normal(size=(12, 7))
+    assert np.allclose(quality_model.forward_substitution(model.factor[0], right), np.linalg.solve(model.factor[0], right))
+
+
+def test_quality_model_cases(spark):
+    d = docs(spark, ["", None, "some words", "some words"], _text=["a"] * 4, read0=["b"] * 4, kept=["c"] * 4)
+    stats = quality_model.document_statistics(d, [F.col("doc_id"), F.col("_text"), F.col("read0"), F.col("kept")])
+    assert stats.columns[:4] == ["doc_id", "_text", "read0", "kept"] and stats.count() == 4
+    model = quality_model.fit(stats.limit(0).withColumn("label", F.lit(None).cast("int")))
+    got = quality_model.score_documents(d, model, [F.col(c) for c in d.columns])
+    assert got.columns == [*d.columns, "score"] and {tuple(r)[2:] for r in got.collect()} == {("a", "b", "c", 0.5)}
+    assert quality_model.score_documents(d.limit(0), model, [F.col("doc_id")]).count() == 0 and quality_model.document_statistics(d.limit(0), [F.col("doc_id")]).count() == 0
+    with pytest.raises(ValueError):
+        quality_model.score_documents(d, model, [F.lit(1).alias("Score")])
