@@ -11,26 +11,26 @@ that one very long text is parsed as many lanes side by side; no byte is left ou
 of a chunk take a step together in numpy.
 
 The sample: ``docs_per_lang`` documents of different texts of each language, those with the lowest hash among documents of a
-usual length first, and at most ``bytes_per_lang`` bytes of their text. These are the only bounds, and
+usual length first (300 to 6000 characters; texts of other lengths come only where those do not suffice), and at most ``bytes_per_lang`` bytes of their text. These are the only bounds, and
 they concern training alone.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled text at all
 every text is ``und``; ties go to the name that sorts first; repeated rows each get their row; other
-columns are not read. The score is ``1 - best / (best + second)``, 1 if there is one language only.
+columns are not read, and kept ones may have any names but those of the results; an empty table gives an empty table. The score is ``1 - best / (best + second)``, 1 if there is one language only.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lane_arrays, text_chunks
+from .common import arrow_columns, text_chunks
 
 UNDETERMINED = "und"
 
@@ -174,22 +174,25 @@ def predict_language(docs: DataFrame, samples: dict[str, bytes], keep: list[Colu
     """``keep``, lang_pred, score and bits_per_byte for every row of ``docs`` (column ``text``)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((samples, lane_bytes))  # bytes_per_lang a language
-    src = docs.select(*keep, F.lower(F.col("text").cast("string")).alias("_text"), F.coalesce(F.expr("text RLIKE '\\\\p{L}'"), F.lit(False)).alias("_letters"))
-    names, token = src.columns[:-2], uuid.uuid4().hex
+    token = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute() -> Callable[[list[pa.Array]], list[pa.Array]]:
         if token not in _OPEN:  # built once in each worker process
             _OPEN.clear()
             _OPEN[token] = CrossParser(*held.value)
         parser = _OPEN[token]
-        for batch in batches:
-            bits = np.full((batch.num_rows, len(parser.names)), np.inf)
-            for lo, hi, data, offs in text_chunks(batch.column(len(names))):
+
+        def verdicts(arrays: list[pa.Array]) -> list[pa.Array]:
+            bits = np.full((len(arrays[0]), len(parser.names)), np.inf)
+            for lo, hi, data, offs in text_chunks(arrays[0]):
                 bits[lo:hi] = parser.bits_per_byte(data, offs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *_verdicts(parser.names, bits, batch.column(len(names) + 1).to_numpy(zero_copy_only=False))], names=[*names, "lang_pred", "score", "bits_per_byte"])
+            return _verdicts(parser.names, bits, arrays[1].to_numpy(zero_copy_only=False))
+
+        return verdicts
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-2])
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    text = F.col("text").cast("string")
+    read = [F.lower(text), F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False))]
+    return arrow_columns(docs, keep, read, "lang_pred string, score double, bits_per_byte double", compute)
 
 
 def _verdicts(names: list[str], bits: np.ndarray, letters: np.ndarray) -> list[pa.Array]:
