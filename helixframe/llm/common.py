@@ -81,6 +81,11 @@ def text_chunks(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int
         lo = hi
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fenced(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
     """``keep`` and ``made``, so that a later filter on what is made is not pushed below it.
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_RUN, UPPER, fenced
+from .common import LOWER, SPACE_RUN, UPPER, fenced, let
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,11 +33,6 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
@@ -62,7 +57,7 @@ def _covered(hashes: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
 
     recurs = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    return F.when(recurs, _let(pairs, count)).otherwise(0)
+    return F.when(recurs, let(pairs, count)).otherwise(0)
 
 
 @dataclass(frozen=True)
@@ -82,12 +77,12 @@ def few_words(least: int) -> Rule:
 
 
 #: Weights: a character scanned 1, a word matched 20, a window hashed, compared and, if one recurs, sorted 40.
-REPEATED_WINDOWS = Rule(lambda text, words: _let(_window_hashes(words), lambda h: 100 * _covered(h) > 50 * F.size(words)), "40 * size(words)", "100 * n_repeat_words > 50 * n_words")
+REPEATED_WINDOWS = Rule(lambda text, words: let(_window_hashes(words), lambda h: 100 * _covered(h) > 50 * F.size(words)), "40 * size(words)", "100 * n_repeat_words > 50 * n_words")
 
 RULES: dict[str, Rule] = {
     "symbols": Rule(lambda text, words: 10 * (F.length(text) - _without(text, SYMBOLS)) > F.size(words), "length(text)", "10 * n_symbols > n_words"),
-    "repeated_lines": Rule(lambda text, words: _let(_lines(text), lambda ls: 2 * (F.size(ls) - F.size(F.array_distinct(ls))) > F.size(ls)), "3 * length(text)", "2 * n_dup_lines > n_lines"),
-    "word_length": Rule(lambda text, words: _let(_without(text, BLANKS), lambda n: (n > 15 * F.size(words)) | (n < 2 * F.size(words))), "length(text)", "word_chars > 15 * n_words OR word_chars < 2 * n_words"),
+    "repeated_lines": Rule(lambda text, words: let(_lines(text), lambda ls: 2 * (F.size(ls) - F.size(F.array_distinct(ls))) > F.size(ls)), "3 * length(text)", "2 * n_dup_lines > n_lines"),
+    "word_length": Rule(lambda text, words: let(_without(text, BLANKS), lambda n: (n > 15 * F.size(words)) | (n < 2 * F.size(words))), "length(text)", "word_chars > 15 * n_words OR word_chars < 2 * n_words"),
     "exclamation": Rule(lambda text, words: 5 * (F.length(text) - _without(text, "!")) > F.size(words), "length(text)"),
     "capitals": Rule(lambda text, words: _without(text, LOWER) > _without(text, UPPER), "2 * length(text)"),  # more A-Z than a-z
     "no_letters": Rule(lambda text, words: 10 * F.size(F.filter(words, lambda w: ~F.rlike(w, F.lit(r"\p{L}")))) > 3 * F.size(words), "20 * size(words)"),

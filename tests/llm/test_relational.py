@@ -276,40 +276,95 @@ def test_rule_order_is_counted(spark):
     assert quality_rules.order_rules(d, dict(reversed(costly.items())), False) == ["cheap", "costly"]
 
 
-def brute_licenses(texts, rare=3, need=2):
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    words = [split(t) for t in texts]
+def license_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def brute_licenses(texts, templates, rare=24, span=64, need=2, least=3, most=16):
+    words = [license_words(t) for t in texts]
     df = Counter(w for ws in words for w in set(ws))
+    rank = lambda w: (df[w], w)
+    split = [(label, license_words(text), [license_words(p) for p in phrases]) for label, text, phrases in templates]
+    indexed = [sorted(set(t), key=rank)[: min(most, max(least, -(-len(set(t)) // 2)))] for _, t, _ in split]
+    index = set().union(*map(set, indexed))
+    at_of = lambda ws, p: [i for i in range(len(ws) - len(p) + 1) if ws[i : i + len(p)] == p]
     out = []
     for ws in words:
-        at = {label: [i for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()] for label, (p, _) in licenses.BASE.items()}
-        labels, best = {k for k, v in at.items() if v}, 0.0
-        for label, (notice, phrase) in licenses.TEMPLATES.items():
-            t, p = notice.split(), phrase.split()
-            low = sorted((w for w in t if t.count(w) == 1), key=lambda w: (df[w], w))[:rare]
-            k = next(i for i in range(len(t)) if t[i : i + len(p)] == p)
-            for o in range(len(ws)):
-                stands = [o + i < len(ws) and ws[o + i] == w for i, w in enumerate(t)]
-                if sum(stands[t.index(w)] for w in low) >= need and all(stands[k : k + len(p)]):
-                    labels.add(label)
-                    best = max(best, sum(stands) / len(t))
-        every = [i for v in at.values() for i in v]
-        base = sorted(k for k, v in at.items() if v)
+        looked_up = {}
+        for lo in range(0, len(ws), span):
+            chosen = set(sorted(index & set(ws[lo : lo + span]), key=rank)[:rare])
+            looked_up |= {i: ws[i] for i in range(lo, min(len(ws), lo + span)) if ws[i] in chosen}
+        base_at = {label: at_of(ws, p.split()) for label, (p, _) in licenses.BASE.items()}
+        labels, best = {k for k, v in base_at.items() if v}, 0.0
+        for (label, t, phrases), mine in zip(split, indexed, strict=True):
+            places = {w: [j for j, x in enumerate(t) if x == w] for w in mine}
+            votes = Counter(i - j for i, w in looked_up.items() for j in places.get(w, ()))
+            offsets = [o for o, n in votes.items() if n >= min(need, sum(map(len, places.values())))]
+            if offsets and all(any(o + at_of(t, p)[0] >= 0 and ws[o + at_of(t, p)[0] :][: len(p)] == p for o in offsets) for p in phrases):
+                labels.add(label)
+                best = max(best, sum(any(0 <= o + j < len(ws) and ws[o + j] == w for o in offsets) for j, w in enumerate(t)) / len(t))
+        every = [i for v in base_at.values() for i in v]
+        base = sorted(k for k, v in base_at.items() if v)
         out.append((len(ws), len(every), min(every, default=None), max(every, default=None), ",".join(base), ",".join(sorted(labels)), 1.0 if every else best))
     return out
 
 
+def same_licenses(got, want):
+    assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got] == [w[:6] for w in want]
+    assert np.allclose([r.score for r in got], [w[6] for w in want])
+
+
 def test_licenses(spark):
-    texts = ["", None, "!!", "CC BY", "cc-by cc  by 4.0", "Released under the MIT License. Released under the MIT License.", "All rights reserved all rights reserved", "under the MIT license", "GNU General\nPublic License", "this work is licensed under a Creative Commons Attribution 4.0 International License", "mit mit mit license", "é ü " * 5000 + "all rights reserved"]
+    texts = ["", None, "!!", "CC BY", "cc-by cc  by 4.0", "Released under the MIT License. Released under the MIT License.", "All rights reserved all rights reserved", "under the MIT license", "GNU General\nPublic License", "this work is licensed under a Creative Commons Attribution 4.0 International License", "mit mit mit license", "é ü " * 5000 + "all rights reserved", "é ü " * 9000 + "released under the ISC license " + "é ü " * 9000]
     texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text RLIKE '(?i)licen|reserved|cc'").limit(60).collect()]
-    d = docs(spark, texts).withColumn("hits", F.lit("clash"))
+    bodies = [t for _, t, _ in licenses.TEXTS]
+    texts += [*bodies, "\n".join(bodies), " ".join(license_words(bodies[-1])[7:]), next(x for x in bodies if "deal in the Software without" in x).replace("without restriction,", "without any restriction at all,"), "word " * 300 + bodies[1] + " word" * 300]
+    d = docs(spark, texts + texts[:9]).withColumn("hits", F.lit("clash")).withColumn("words", F.lit("clash"))
     got = licenses.scan_licenses(d).orderBy("row.doc_id").collect()
-    want = brute_licenses(texts)
-    assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got] == [w[:6] for w in want]
-    assert np.allclose([r.score for r in got], [w[6] for w in want])
+    same_licenses(got, brute_licenses(texts + texts[:9], licenses.TEXTS + licenses.NOTICES))
+    assert got[0].asDict()["row"].asDict().keys() == {"doc_id", "text", "hits", "words"} and got[12].labels == "isc"
     assert licenses.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_many_and_long_templates(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(900)] + ["the", "of", "to"] * 60
+    templates = []
+    for i in range(100):
+        t = rng.choices(vocabulary, k=3000 if i == 0 else rng.randint(1, 90))
+        cut = sorted(rng.sample(range(len(t)), 2)) if len(t) > 5 else [0, 0]
+        templates.append((f"l{i % 80}", " ".join(t), [" ".join(t[c : c + 4]) for c in cut]))
+    texts = []
+    for label, t, _ in templates:
+        w = t.split()
+        at = rng.randrange(len(w))
+        texts += [t, "the of to " * 20 + t, " ".join(w[:at] + ["put", "in"] + w[at:]), " ".join(w[at:])]
+    texts += [" ".join(rng.choices(vocabulary, k=400)) for _ in range(30)] + [" ".join(t for _, t, _ in rng.sample(templates, 12))]
+    d = docs(spark, texts)
+    table = licenses.template_table(spark, templates)
+    got = licenses.scan_licenses(d, table).orderBy("row.doc_id")
+    same_licenses(got.collect(), brute_licenses(texts, templates))
+    assert sum(templates[i][0] in r.labels.split(",") for i, r in enumerate(got.collect()[0:400:4])) >= 97
+    operators = lambda x: len(x._jdf.queryExecution().sparkPlan().toString().split("\n"))
+    assert operators(licenses.scan_licenses(d, table)) == operators(licenses.scan_licenses(d, licenses.template_table(spark, templates[:2])))
+    assert {r.labels for r in licenses.scan_licenses(docs(spark, ["mit license", "cc by"]), table.limit(0)).collect()} == {"", "cc-by"}
+    for bad in ([("x", "one two three", ["two one"])], [("x", "a " * 30, [])]):
+        with pytest.raises(ValueError):
+            licenses.scan_licenses(d, licenses.template_table(spark, bad), max_words=20)
+
+
+def test_license_base_columns_equal_sql(spark):
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.01"
+    sql = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM '{sf_dir}/documents.parquet'),
+    p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    h AS (SELECT doc_id, i - 1 AS pos, CASE WHEN ws[i:i+1] = ['cc', 'by'] THEN 'cc-by' WHEN ws[i:i+2] = ['general', 'public', 'license'] THEN 'gpl' WHEN ws[i:i+2] = ['all', 'rights', 'reserved'] THEN 'reserved' END AS label FROM p)
+    SELECT w.doc_id, len(ws), count(label), min(pos) FILTER (label IS NOT NULL), max(pos) FILTER (label IS NOT NULL), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM w LEFT JOIN h USING (doc_id) GROUP BY w.doc_id, len(ws)"""
+    got = licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_license_bodies_and_versions(spark):
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Retain the notice. 2. Reproduce it in the documentation and/or other materials provided with the distribution. "
     third = "3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
