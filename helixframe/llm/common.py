@@ -29,7 +29,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{re.sub(r'[^A-Za-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_at = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``write_table`` on which nothing that is yet to run depends."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def lookup_join(df: DataFrame, small: DataFrame, key: str, max_rows: int = 20_000, salts: int = 64) -> DataFrame:

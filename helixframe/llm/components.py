@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import discard, write_table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges (a, b), longs; a component is its smallest node."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
+    before, last = None, None
     for _ in range(max_rounds):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         e = write_table(small.distinct(), "small_star")
         now = _state(e)
+        discard(large, *([last] if last is not None else []))
+        last = e
         if now == before or not now[0]:
             break
         before = now

@@ -6,11 +6,13 @@
    bucket has rows, never its square.
 3. Pairs are verified in batches of signature positions. After each batch the posterior of the similarity
    (uniform prior) is compared with the threshold, and pairs with less than ``miss`` probability of reaching it
-   are pruned. What survives is verified exactly on the full shingle sets.
+   are pruned. What survives is verified exactly on the full shingle sets. The members of a pivot are dealt to stars of
+   about ``star`` members, and each star is sent its pivot once, so a pivot with a third of all classes is no one task's
+   work and its set is not repeated for each member. A task streams over its stars and holds one pivot.
 4. Verified pairs are joined to components. A bucket all of whose classes are in one component is settled. The
    members of the others are gathered by their pivot's component, and those outside it are compared, by the same
    verification, with those inside and with one another. This is done block by block, each task holding two blocks of
-   ``block`` classes at most and giving only the links it finds. So every two classes that share a bucket end in one
+   about ``block`` classes and ``block_bytes`` bytes of sets at most and giving only the links it finds. So every two classes that share a bucket end in one
    component or have been compared; nothing is capped, and no table of pairs within groups is made.
 
 Two sets of similarity s share no band with probability ``(1 - s**rows)**bands``: 5e-8 at 0.8 with the defaults.
@@ -24,7 +26,7 @@ repeated rows are equal sets; an empty table gives an empty table; other columns
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, write_table
+from .common import arrow_columns, discard, lookup_join, text_chunks, write_table
 from .components import connected_components
 from .shingles import MinHash, digest, shingle_sets
 
@@ -59,42 +61,64 @@ def _binary(column: pa.Array, n: int) -> np.ndarray:
 
 def shingle_signatures(docs: DataFrame, keep: list[Column], width: int, size: int) -> DataFrame:
     """``keep``, n_shingles, node (digest of the set) and sig (little-endian low 16 bits of the minima; null for an empty set)."""
-    src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    names = src.columns[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute() -> Callable[[list[pa.Array]], list[pa.Array]]:
         hashing = MinHash(size)
-        for batch in batches:
+
+        def sign(arrays: list[pa.Array]) -> list[pa.Array]:
             n, node, sig = [], [], []
-            for _, _, data, offs in text_chunks(batch.column(len(names))):
+            for _, _, data, offs in text_chunks(arrays[0]):
                 sets = shingle_sets(data, offs, width)
                 minima = iter((hashing.signatures([s for s in sets if len(s)]) & np.uint32(0xFFFF)).astype("<u2"))
                 n += [len(s) for s in sets]
                 node += [digest(s) if len(s) else None for s in sets]
                 sig += [next(minima).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], names=[*names, "n_shingles", "node", "sig"])
+            return [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())]
+
+        return sign
+
+    return arrow_columns(docs, keep, [F.col("text").cast("string")], "n_shingles long, node binary, sig binary", compute)
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{fields}, n_shingles long, node binary, sig binary")
+def _stars(pairs: DataFrame, payload: DataFrame, star: int) -> DataFrame:
+    """Rows of the pairs (a, b) by stars: a, part, member (false: the pivot's own row, which comes first), nid and ``payload`` (by nid)."""
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > star).select("a", F.ceil(F.col("n") / star).cast("int").alias("parts"))
+    dealt = lookup_join(pairs, many, "a").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
+    members = dealt.select("a", "part", F.lit(True).alias("member"), F.col("b").alias("nid"))
+    pivots = dealt.select("a", "part").distinct().select("a", "part", F.lit(False).alias("member"), F.col("a").alias("nid"))
+    rows = members.unionByName(pivots).join(payload, "nid").select("a", "part", "member", "nid", *[c for c in payload.columns if c != "nid"])
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "nid")
 
 
-def _prune(pairs: DataFrame, size: int, threshold: float, miss: float) -> DataFrame:
-    """Pairs (a, b) whose signatures sa and sb stand all batches."""
-    need = least_matches(threshold, size, miss)
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _prune(stars: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of stars with n_shingles and sig that stand all batches."""
+    need = least_matches(percent / 100, size, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None  # signature and size of the pivot of the rows at hand
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (_binary(batch.column(i), 2 * size).view("<u2") for i in (2, 3))
-            live, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
-            for n, least in need.items():
-                equal[live] += (x[live, n - BATCH : n] == y[live, n - BATCH : n]).sum(axis=1)
-                live = live[equal[live] >= least]
-            rows = pa.array(live)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+            a, member, nid, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "member", "nid", "n_shingles"))
+            sig = _binary(batch.column("sig"), 2 * size).view("<u2")
+            own = np.flatnonzero(~member)
+            leads = np.concatenate([sig[:1] if lead is None else lead[0], sig[own]])
+            sizes = np.concatenate([n[:1] if lead is None else lead[1], n[own]])
+            of = np.cumsum(~member)  # 0: the pivot of the batch before
+            lead = leads[-1:].copy(), sizes[-1:].copy()
+            live = np.flatnonzero(member & (100 * np.minimum(n, sizes[of]) >= percent * np.maximum(n, sizes[of])))
+            equal = np.zeros(len(live), dtype=np.int64)
+            for k, least in need.items():
+                equal += (sig[live, k - BATCH : k] == leads[of[live], k - BATCH : k]).sum(axis=1)
+                stay = equal >= least
+                live, equal = live[stay], equal[stay]
+            yield _pairs_of(a[live], nid[live])
+
+    return stars.mapInArrow(run, "a long, b long")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -118,20 +142,23 @@ def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets xa and xb."""
+def _confirm(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of stars with shingles for which 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, dtype="<u8")
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                both = int(_shared(p, [q])[0])
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            for member, value in zip(batch.column("member").to_pylist(), batch.column("shingles"), strict=True):
+                x = np.frombuffer(value.as_buffer(), dtype="<u8")
+                if not member:
+                    lead = x.copy()  # the batch goes, its last pivot stays
+                both = int(_shared(lead, [x])[0]) if member else 0
+                keep.append(member and 100 * both >= percent * (len(lead) + len(x) - both))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "nid")], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return stars.mapInArrow(run, "a long, b long")
 
 
 def _compare(left: dict, right: dict, need: dict[int, int], percent: int) -> tuple[list[int], list[int]]:
@@ -168,16 +195,17 @@ def _compare(left: dict, right: dict, need: dict[int, int], percent: int) -> tup
     return a, b
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """(hub, o, j, right, nid, component) from (hub, nid, component): classes outside the hub against all of it, in blocks.
+def _blocks(rows: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(hub, o, j, right, nid, component) from (hub, nid, component, n_shingles): classes outside the hub against all of it, in blocks.
 
     Outsiders are dealt to blocks o, insiders to blocks j and outsiders to further blocks j; a task (hub, o, j) has
     block o on the left and block j on the right.
     """
     inside = F.col("component") == F.col("hub")
-    counts = rows.groupBy("hub").agg(F.count_if(inside).alias("m"), F.count_if(~inside).alias("k")).where("k > 0")
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(block))).cast("int")
-    r = rows.join(counts, "hub").withColumn("km", blocks("m")).withColumn("ko", blocks("k"))
+    held = lambda c: F.sum(F.when(c, 8 * F.col("n_shingles")).otherwise(0))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(block)), F.ceil(size / F.lit(block_bytes))).cast("int")
+    counts = rows.groupBy("hub").agg(blocks(F.count_if(inside), held(inside)).alias("km"), blocks(F.count_if(~inside), held(~inside)).alias("ko"), F.count_if(~inside).alias("k")).where("k > 0").drop("k")
+    r = lookup_join(rows, counts, "hub").where("km IS NOT NULL")
     deal = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
     all_o, all_j = F.sequence(F.lit(0), F.col("ko") - 1), F.sequence(F.lit(0), F.col("km") + F.col("ko") - 1)
     task = lambda o, j, right: F.struct(o.cast("int").alias("o"), j.cast("int").alias("j"), F.lit(right).alias("right"))
@@ -227,7 +255,7 @@ def _compare_blocks(rows: DataFrame, size: int, percent: int, miss: float) -> Da
     return rows.repartition("hub", "o", "j").sortWithinPartitions("hub", "o", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-9, block: int = 2048, max_broadcast: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-9, block: int = 2048, block_bytes: int = 1 << 25, star: int = 1024, max_broadcast: int = 100_000) -> DataFrame:
     """doc_id, text_key (md5 of the text), n_shingles, component_id and winner for every row of ``docs``.
 
     ``component_id`` is the smallest id of the row's group. ``winner`` is the struct (doc_id, text_key) of the one
@@ -246,20 +274,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     members = write_table(banded.join(shared, "key").select("pivot", "nid", "key"), "members")
     sets = _member_sets(docs, classes, members, width, max_broadcast)
 
-    pairs = members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
-    side = lambda c, s: classes.select(F.col("nid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s))
-    sized = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    alive = write_table(_prune(sized.select("a", "b", "sa", "sb"), size, percent / 100, miss), "survivors")
-    full = lambda c: sets.select(F.col("nid").alias(c), F.col("shingles").alias(f"x{c}"))
-    links = write_table(_confirm(alive.join(full("a"), "a").join(full("b"), "b").select("a", "b", "xa", "xb"), percent), "linked")
+    pairs = write_table(members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct(), "pairs")
+    alive = write_table(_prune(_stars(pairs, classes.select("nid", "n_shingles", "sig"), star), size, percent, miss), "survivors")
+    links = write_table(_confirm(_stars(alive, sets, star), percent), "linked")
     comp = write_table(connected_components(links), "components")
 
     open_ = _open_members(members, comp)
-    more = _compare_blocks(_blocks(open_, block).join(classes.select("nid", "sig"), "nid").join(sets, "nid").select("hub", "o", "j", "right", "nid", "component", "sig", "shingles"), size, percent, miss)
+    sized = open_.join(classes.select("nid", "n_shingles"), "nid")
+    more = _compare_blocks(_blocks(sized, block, block_bytes).join(classes.select("nid", "sig"), "nid").join(sets, "nid").select("hub", "o", "j", "right", "nid", "component", "sig", "shingles"), size, percent, miss)
     more = write_table(more, "more_links")
+    done = [members, sets, pairs, alive, links, open_, more, comp]
     if more.limit(1).count():
         comp = write_table(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-    return _labelled(signed, classes, comp)
+        done.append(comp)
+    out = _labelled(signed, classes, comp)
+    discard(*done, classes)
+    return out
 
 
 def _member_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, max_broadcast: int) -> DataFrame:
@@ -274,11 +304,14 @@ def _member_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, width:
 
 def _open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Distinct (hub, nid, component) of buckets that lie in two components or more; hub: the pivot's component."""
-    label = comp.withColumnRenamed("node", "nid")
-    rows = members.join(label, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    hub = members.select(F.col("pivot").alias("nid")).distinct().join(label, "nid", "left").select(F.col("nid").alias("pivot"), F.coalesce("component", "nid").alias("hub"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return write_table(rows.join(mixed, "key", "left_semi").join(hub, "pivot").select("hub", "nid", "component").distinct(), "open_members")
+    rows = members.join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("component", "nid").alias("component"))
+    rows = write_table(rows, "placed_members")
+    # the pivot is the bucket's smallest class
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "nid").alias("hub")).where("lo <> hi").select("key", "hub")
+    mixed = write_table(mixed, "mixed_buckets")
+    out = write_table(lookup_join(rows, mixed, "key").where("hub IS NOT NULL").select("hub", "nid", "component").distinct(), "open_members")
+    discard(rows, mixed)
+    return out
 
 
 def _labelled(signed: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -286,6 +319,7 @@ def _labelled(signed: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFra
     label = write_table(label.withColumn("component", F.coalesce("component", "nid")), "labels")
     group = label.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("first").alias("winner"))
     by_set = write_table(label.join(group, "component").select("node", "component_id", "winner"), "groups")
+    discard(label)
     return signed.select("doc_id", "text_key", "n_shingles", "node").join(by_set, "node", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "winner")
 
 

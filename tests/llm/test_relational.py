@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import chat, components, licenses, mixing, near_dedup, quality_rules, topk
+from helixframe.llm.common import lookup_join
 from helixframe.llm.near_dedup import least_matches
 
 SF = "/root/testdata/sf0.001"
@@ -55,15 +56,26 @@ def texts_with_copies(seed):
     return out + out[-5:]
 
 
-@pytest.mark.parametrize("width,block", [(2, 2048), (2, 3), (5, 2048)])
-def test_near_duplicates(spark, width, block):
+@pytest.mark.parametrize("width,block,options", [(2, 2048, {}), (2, 3, {"star": 2}), (2, 2048, {"block_bytes": 3000, "star": 5}), (5, 2048, {"max_broadcast": 0})])
+def test_near_duplicates(spark, width, block, options):
     texts = texts_with_copies(width)
     d = docs(spark, texts).withColumn("node", F.lit("clash")).withColumn("component_id", F.lit(1))
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(d, width=width, block=block).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(d, width=width, block=block, **options).collect())
     assert got == groups(texts, width)
     assert near_dedup.near_duplicates(d.limit(0), width=width).count() == 0
 
 
+def test_lookup_join_by_salts_and_by_broadcast(spark):
+    d = spark.createDataFrame([(i % 7 if i % 3 else 1, i, "x") for i in range(500)], "k long, v long, _s string")
+    small = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "k long, name string")
+    want = rows_of(lookup_join(d, small, "k"))
+    assert rows_of(lookup_join(d, small, "k", max_rows=2)) == want and len(want) == 500
+
+
+def rows_of(df):
+    return sorted(map(str, (tuple(r) for r in df.select("k", "v", "_s", "name").collect())))
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"t{i}" for i in range(40))
     d = spark.createDataFrame([(None, text), (7, text), (7, text), (9, text + " more"), (None, "other words here")], "doc_id long, text string")
