@@ -14,31 +14,34 @@ from helixframe.llm.common import crc_mod, table, write_table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of 0.5 or more). It learns from labelled rows outside the held-out fold."""
+    """Documents that the quality classifier does not reject (score of 0.5 or more). It learns from labelled rows outside the held-out fold.
+
+    Labels meet statistics, never texts. A null or empty text is scored like any other; an empty table, or one without labels, keeps all.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    known = docs.where(crc_mod(F.col("doc_id"), 3) != 1).join(labels.where("label IN (0, 1)"), "doc_id").select("doc_id", "label", "text")
-    model = quality_model.fit(quality_model.document_statistics(known, [F.col("label")]))
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    return quality_model.score_documents(packed, model, [F.col("row")]).where("score >= 0.5").select("row.*")
+    rows = quality_model.document_statistics(docs.where(crc_mod(F.col("doc_id"), 3) != 1), [F.col("doc_id")])
+    model = quality_model.fit(rows.join(labels.where("label IN (0, 1)"), "doc_id"))
+    row = F.struct("*").alias("row")
+    return quality_model.score_documents(docs, model, [row]).where("score >= 0.5").select("row.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality_rules.apply_rules(docs).where("kept").select("row.*")
+    """Documents that no quality rule rejects; short ones stay, as shortness alone is no fault, those without a word go."""
+    return quality_rules.reject_rules(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (shingles of five words, similarity 0.8 or more)."""
+    """One document of each near-duplicate group (shingles of five words, similarity 0.8 or more); texts without words stay."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All sources to equal weight, at the size of the input."""
+    """All sources to equal weight, at the size of the input; null is a source, an empty table stays empty."""
     return mixing.mix(docs, mixing.source_rates(docs, None)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens; a null text gives its end id alone."""
     return packing.pack(docs)
 
 
