@@ -255,7 +255,7 @@ def _compare_blocks(rows: DataFrame, size: int, percent: int, miss: float) -> Da
     return rows.repartition("hub", "o", "j").sortWithinPartitions("hub", "o", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-9, block: int = 2048, block_bytes: int = 1 << 25, star: int = 1024, max_broadcast: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-9, block: int = 1024, block_bytes: int = 1 << 25, star: int = 1024, max_broadcast: int = 100_000) -> DataFrame:
     """doc_id, text_key (md5 of the text), n_shingles, component_id and winner for every row of ``docs``.
 
     ``component_id`` is the smallest id of the row's group. ``winner`` is the struct (doc_id, text_key) of the one
