@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .errors import EngineError, require
 from .functions.dna import normalize_bases
 from .operators import exact, index, maximal, reference
-from .session import local_session, ship
+from .session import cut, local_session, ship
 from .sources import tables
 from .sources.fasta import read_fasta
 
@@ -33,6 +33,8 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--pattern")
     q.add_argument("--query")
     q.add_argument("--strand", default="forward")
+    q.add_argument("--algorithm", default="auto")
+    q.add_argument("--batch-width", type=int, default=0)
     q.add_argument("--count-only", action="store_true")
     q.add_argument("--max-hits", type=int)
     for name in ("right-maximal", "mem", "mam", "smem", "mum"):
@@ -55,9 +57,9 @@ def _parser() -> argparse.ArgumentParser:
 def build(spark: SparkSession, kind: str, fasta: str, output: str, overwrite: bool, rate: int) -> None:
     contigs = reference.reference_from_records(read_fasta(spark, fasta))
     symbols = reference.text_symbols(contigs)
-    sa = index.suffix_array(symbols)
+    sa = cut(index.suffix_array(cut(symbols)))
     sections = {"contigs": contigs, "symbols": symbols}
-    sections |= {"sa": index.sampled_suffix_array(sa, rate) if rate > 1 else sa} if kind == "sa" else {"bwt": index.bwt(symbols, sa), "c_table": index.c_table(symbols)}
+    sections |= {"sa": index.sampled_suffix_array(sa, rate) if rate > 1 else sa} if kind == "sa" else {"bwt": index.bwt(symbols, sa), "c_table": index.c_table(symbols), "sa": sa}
     stats = {**reference.reference_stats(contigs).first().asDict(), **reference.fingerprint(contigs).first().asDict()}
     tables.save_index(sections, output, {"type": kind, "sampling_rate": rate, **stats}, overwrite)
 
@@ -90,6 +92,19 @@ def _maximal(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return m.withColumnsRenamed({"reference_position": "reference_start", "query_position": "query_start"}).select(*columns).orderBy("query_id", "query_start", "sequence_id", "reference_start", "length", "strand")
 
 
+def _exact(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """An FM index is searched backwards; beside a suffix array the contigs are searched by words."""
+    held = tables.load_index(spark, a.index)
+    fm = tables.read_manifest(spark, a.index)["properties"].get("type") == "fm"
+    exact.check_algorithm(a.algorithm, set(held))
+    p = spark.createDataFrame([("query_0", a.pattern)], "query_id string, pattern string") if a.pattern is not None else _queries(spark, a.query).withColumnRenamed("sequence", "pattern")
+    if a.count_only:
+        rows = index.fm_count(held["bwt"], held["c_table"], p, a.strand, batch_width=a.batch_width) if fm else exact.count(held["contigs"], p, a.strand)
+        return rows.orderBy("query_id")
+    hits = index.fm_locate(held["contigs"], held["bwt"], held["c_table"], held["sa"], p, a.strand, a.max_hits, batch_width=a.batch_width) if fm else exact.locate(held["contigs"], p, a.strand, a.max_hits)
+    return hits.withColumn("start", F.col("position")).withColumn("end", F.col("position") + F.col("length")).orderBy("query_id", "sequence_id", "position", "length", "strand").select(*EXACT)
+
+
 def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
     """Exit code; results go to ``out`` as tab-separated rows under a header."""
     try:
@@ -104,12 +119,7 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
             rows = tables.inspect_index(spark, a.index)
         elif a.command == "query":
             require((a.pattern is None) != (a.query is None), "give --pattern or --query", "invalid_argument")
-            contigs = tables.load_index(spark, a.index)["contigs"]
-            p = spark.createDataFrame([("query_0", a.pattern)], "query_id string, pattern string") if a.pattern is not None else _queries(spark, a.query).withColumnRenamed("sequence", "pattern")
-            if a.count_only:
-                rows = exact.count(contigs, p, a.strand).orderBy("query_id")
-            else:
-                rows = exact.locate(contigs, p, a.strand, a.max_hits).withColumn("start", F.col("position")).withColumn("end", F.col("position") + F.col("length")).orderBy("query_id", "sequence_id", "position", "length", "strand").select(*EXACT)
+            rows = _exact(spark, a)
         else:
             rows = _maximal(spark, a)
         print("\t".join(rows.columns), file=out)

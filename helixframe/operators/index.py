@@ -6,8 +6,6 @@ A global rank is the rank within a range partition plus the rows of the partitio
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,23 +13,19 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, require
 from ..functions.dna import kmer_key
-from ..session import shared_folder
+from ..session import cut
+from .exact import check_patterns, first_hits, stranded
+from .exact import count as exact_count
 from .kmers import words
-from .reference import contig_offsets, text_symbols
+from .reference import contig_offsets, map_global, text_symbols
 
 BASE = 16
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/index-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def global_rank(df: DataFrame, keys: list[str], partitions: int = 16) -> DataFrame:
     """``df`` with ``rank``: rows with smaller keys, over all of ``df``."""
     # equal keys go to one range, and the number of each range's rows is small data
-    dealt = _cut(df.repartitionByRange(partitions, *keys).withColumn("_p", F.spark_partition_id()))
+    dealt = cut(df.repartitionByRange(partitions, *keys).withColumn("_p", F.spark_partition_id()))
     sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     inside = F.rank().over(Window.partitionBy("_p").orderBy(*keys)) - 1
@@ -48,12 +42,12 @@ def suffix_ranks(symbols: DataFrame, partitions: int = 16) -> list[tuple[int, Da
     text = chunks.join(after, "c", "left").select("c", "s", F.concat("s", F.coalesce("t", F.lit(""))).alias("t"))
     each = F.transform(F.sequence(F.lit(0), F.length("s") - 1), lambda i: F.struct((F.col("c") * step + i).alias("pos"), F.substring("t", i + 1, F.lit(BASE)).alias("w")))
     first = text.select(F.explode(each).alias("x")).select("x.*")
-    ranks = _cut(global_rank(first, ["w"], partitions).select("pos", "rank"))
+    ranks = cut(global_rank(first, ["w"], partitions).select("pos", "rank"))
     levels, h = [(BASE, ranks)], BASE
     while ranks.select("rank").distinct().count() < n:
         later = ranks.select((F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
         pairs = ranks.withColumnRenamed("rank", "first").join(later, "pos", "left").fillna(-1, ["next"])
-        ranks = _cut(global_rank(pairs, ["first", "next"], partitions).select("pos", "rank"))
+        ranks = cut(global_rank(pairs, ["first", "next"], partitions).select("pos", "rank"))
         h *= 2
         levels.append((h, ranks))
     return levels
@@ -87,7 +81,7 @@ def lcp_array(symbols: DataFrame) -> DataFrame:
         for side in ("suffix", "previous"):
             look = ranks.select(F.col("pos").alias("_at"), F.col("rank").alias(f"_{side}"))
             d = d.join(look, F.col(side) + F.col("lcp") == F.col("_at"), "left").drop("_at")
-        d = _cut(d.withColumn("lcp", F.when(F.col("_suffix") == F.col("_previous"), F.col("lcp") + h).otherwise(F.col("lcp"))).drop("_suffix", "_previous"))
+        d = cut(d.withColumn("lcp", F.when(F.col("_suffix") == F.col("_previous"), F.col("lcp") + h).otherwise(F.col("lcp"))).drop("_suffix", "_previous"))
     # fewer symbols than the narrowest level are left; levels above may repeat once each, so 16 more suffice twice
     near = symbols.select("pos", "symbol")
     look = lambda side: d.select("row", (F.col(side) + F.col("lcp")).alias("at")).where("at IS NOT NULL").select("row", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * BASE - 1)), lambda i: F.struct(i.alias("i"), (F.col("at") + i).alias("p")))).alias("x")).select("row", "x.*").join(near, F.col("p") == F.col("pos")).select("row", "i", F.col("symbol").alias(side[0]))
@@ -102,32 +96,38 @@ def byte_coded_lcp(lcp: DataFrame) -> DataFrame:
 
 
 def child_table(lcp: DataFrame) -> DataFrame:
-    """(row, up, down, next_l) over the nested intervals of equal prefixes; one task walks the rows in order."""
+    """(row, up, down, next_l) over the nested intervals of equal prefixes.
+
+    ``up`` is the first smallest value of the stretch of larger values that ends before the row, ``down`` that of the stretch
+    that begins after it, ``next_l`` the next row of the same value with none smaller between. All follow from the nearest smaller
+    values on both sides: the first smallest value q of the stretch between them is the ``up`` of the right one if that is no smaller
+    than the left one, and the ``down`` of the left one if that is no smaller than the right one. One task walks the rows in order.
+    """
 
     def run(batches):
         pdf = pd.concat(list(batches)).sort_values("row")
         v, n = pdf["lcp"].to_numpy(), len(pdf)
         up, down, nxt = (np.full(n, -1, dtype=np.int64) for _ in range(3))
-        open_: list[int] = []
+        open_: list[int] = []  # rows of values that do not fall; of equal ones all
         for i in range(n + 1):
-            here, popped = (v[i] if i < n else -1), -1
+            here = v[i] if i < n else -1
             while open_ and v[open_[-1]] > here:
-                popped = open_.pop()
-                if open_ and v[open_[-1]] < v[popped] and v[open_[-1]] >= here:
-                    down[open_[-1]] = popped  # the first smallest value after it
+                q = open_.pop()
+                if open_ and v[open_[-1]] == v[q]:
+                    continue  # not the first of its equals
+                left = v[open_[-1]] if open_ else -1
+                if i < n and left <= here:
+                    up[i] = q
+                if open_ and here <= left:
+                    down[open_[-1]] = q
             if i < n:
-                if popped >= 0:
-                    up[i] = popped
                 if open_ and v[open_[-1]] == here:
-                    nxt[open_.pop()] = i
+                    nxt[open_[-1]] = i
                 open_.append(i)
-        none = lambda a: pd.array(np.where(a < 0, 0, a), dtype="Int64")
-        out = pd.DataFrame({"row": pdf["row"].to_numpy()})
+        out = {"row": pdf["row"].to_numpy()}
         for name, a in (("up", up), ("down", down), ("next_l", nxt)):
-            col = none(a)
-            col[a < 0] = pd.NA
-            out[name] = col
-        yield out
+            out[name] = pd.arrays.IntegerArray(a, a < 0)
+        yield pd.DataFrame(out)
 
     return lcp.select("row", "lcp").repartition(1).mapInPandas(run, "row long, up long, down long, next_l long")
 
@@ -192,7 +192,7 @@ def fm_equal_range(bwt_rows: DataFrame, c: DataFrame, patterns: DataFrame, held_
         rows = bwt_rows.toPandas().sort_values("row")
         smaller = [r["smaller"] for r in c.orderBy("symbol").collect()]
         return _search_held(rows["symbol"].to_numpy().astype(np.uint8).tobytes(), smaller, patterns)
-    occ = _cut(occurrences(bwt_rows))
+    occ = cut(occurrences(bwt_rows))
     total = occ.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))
     digits = F.translate(F.translate("pattern", "acgt", "ACGT"), "ACGT", "2345")
     state = patterns.select("query_id", digits.alias("d"), F.lit(0).cast("long").alias("lo"), F.lit(n).cast("long").alias("hi"))
@@ -208,11 +208,59 @@ def fm_equal_range(bwt_rows: DataFrame, c: DataFrame, patterns: DataFrame, held_
         for side in ("lo", "hi"):
             smaller = smaller.join(got.select(F.col("symbol").alias("_s"), F.col("row").alias("_r"), F.col("count").alias(f"_{side}")), (F.col("symbol") == F.col("_s")) & (F.col(side) == F.col("_r")), "left").drop("_s", "_r")
         step = lambda side: F.when(F.col("symbol").isNull(), F.col(side)).otherwise(F.col("smaller") + F.col(f"_{side}"))
-        state = _cut(smaller.select("query_id", "d", step("lo").alias("lo"), step("hi").alias("hi")))
+        state = cut(smaller.select("query_id", "d", step("lo").alias("lo"), step("hi").alias("hi")))
     some = F.col("hi") > F.col("lo")
     return state.select("query_id", F.when(some, F.col("lo")).otherwise(0).alias("begin"), F.when(some, F.col("hi")).otherwise(0).alias("end"))
 
 
+def range_rows(ranges: DataFrame, piece: int = 1 << 16) -> DataFrame:
+    """The columns of ``ranges`` but begin and end, with ``row`` for each row in [begin, end); no array holds a whole long range."""
+    keep = [c for c in ranges.columns if c not in ("begin", "end")]
+    pieces = ranges.where("end > begin").select(*keep, "end", F.explode(F.sequence(F.col("begin"), F.col("end") - 1, F.lit(piece).cast("long"))).alias("low"))
+    return pieces.select(*keep, F.explode(F.sequence(F.col("low"), F.least(F.col("end"), F.col("low") + piece) - 1)).alias("row"))
+
+
+def suffix_at(sa: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, suffix) of the asked rows; a row that the array lacks is refused when rows are read."""
+    lost = F.raise_error(F.concat(F.lit("invalid_input: no row "), F.col("row").cast("string"))).cast("long")
+    return rows.select("row").join(sa.select("row", "suffix"), "row", "left").select("row", F.coalesce("suffix", lost).alias("suffix"))
+
+
+FM_BACKENDS = ("sdsl-csa-wt-huff", "sdsl-csa-wt-balanced", "sdsl-csa-wt-epr")  # fixed names; one implementation here
+
+
+def check_fm(backend: str = FM_BACKENDS[0], batch_width: int = 0) -> None:
+    """Names of layouts that can be searched, and widths of batches: 0 (as 16) to 256. Neither changes a result."""
+    if backend not in FM_BACKENDS:
+        raise EngineError("unsupported_backend", f"FM backend {backend!r}")
+    require(0 <= batch_width <= 256, "batch_width must be in [0, 256]")
+
+
+def _fm_hits(bwt_rows: DataFrame, c: DataFrame, patterns: DataFrame, strands: str, backend: str, batch_width: int) -> DataFrame:
+    """query_id, strand, p, begin, end: each different string that is searched is searched once."""
+    check_fm(backend, batch_width)
+    check_patterns(patterns)
+    asked = stranded(patterns, strands)
+    found = fm_equal_range(bwt_rows, c, asked.select(F.col("p").alias("query_id"), F.col("p").alias("pattern")).distinct())
+    return asked.join(found.withColumnRenamed("query_id", "p"), "p")
+
+
+def fm_count(bwt_rows: DataFrame, c: DataFrame, patterns: DataFrame, strands: str = "forward", backend: str = FM_BACKENDS[0], batch_width: int = 0) -> DataFrame:
+    """query_id, total_hits of every pattern by backward search, zero included."""
+    hits = _fm_hits(bwt_rows, c, patterns, strands, backend, batch_width)
+    return hits.groupBy("query_id").agg(F.sum(F.col("end") - F.col("begin")).alias("total_hits"))
+
+
+def fm_locate(contigs: DataFrame, bwt_rows: DataFrame, c: DataFrame, sa: DataFrame, patterns: DataFrame, strands: str = "forward", max_hits: int | None = None, backend: str = FM_BACKENDS[0], batch_width: int = 0) -> DataFrame:
+    """query_id, sequence_id, sequence_name, position, length, strand by backward search; the text is not scanned."""
+    require(max_hits is None or max_hits >= 0, "max_hits must not be negative")
+    rows = range_rows(_fm_hits(bwt_rows, c, patterns, strands, backend, batch_width)).join(sa.select("row", "suffix"), "row")
+    at = map_global(contigs, rows.select(F.col("suffix").alias("global_pos"), F.lit(1).cast("long").alias("length")).distinct()).select(F.col("global_pos").alias("suffix"), "sequence_id", "position")
+    names = contigs.select("sequence_id", F.col("name").alias("sequence_name"))
+    hits = rows.join(at, "suffix").join(names, "sequence_id").select("query_id", "sequence_id", "sequence_name", "position", F.length("p").cast("long").alias("length"), "strand")
+    return hits if max_hits is None else first_hits(hits, max_hits)
+
+
 def equal_range(contigs: DataFrame, sa: DataFrame, patterns: DataFrame, sampling_rate: int = 1) -> DataFrame:
     """(query_id, begin, end): rows of the suffix array whose suffixes start with the pattern, by their places in the text."""
     if sampling_rate != 1:
@@ -287,8 +335,6 @@ def sampled_count(contigs: DataFrame, sampled: DataFrame, rate: int, patterns: D
     The part of the pattern from there on is looked up among sampled suffixes, the bases before it are compared.
     Patterns shorter than ``rate`` are counted by scan, as they may hold no sampled place.
     """
-    from .exact import count
-
     p = patterns.select("query_id", F.translate("pattern", "acgt", "ACGT").alias("p"))
     long_ = p.where(F.length("p") >= rate)
     longest = p.agg(F.max(F.length("p"))).first()[0] or 1
@@ -302,4 +348,4 @@ def sampled_count(contigs: DataFrame, sampled: DataFrame, rate: int, patterns: D
     n = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
     found = long_.select("query_id").join(n, "query_id", "left").fillna(0)
     short = patterns.where(F.length("pattern") < rate)
-    return found if not short.limit(1).count() else found.unionByName(count(contigs, short))
+    return found if not short.limit(1).count() else found.unionByName(exact_count(contigs, short))

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, require
 from ..functions.dna import STRANDS
+from ..session import cut
 from .kmers import strand_expand, words
 
 ALGORITHMS = ("auto", "baseline", "lcp", "child", "suffix-link", "full")
 #: Bases up to which the reference's words are broadcast (about 60 bytes each).
 BROADCAST_BASES = 200_000
+#: Bases of a query whose supermaximal starts are joined with the matches over them at a time.
+STRETCH = 1024
 COLUMNS = ["query_id", "sequence_id", "reference_position", "query_position", "length", "strand"]
 
 
@@ -114,7 +117,7 @@ def smem(reference: DataFrame, queries: DataFrame, min_length: int = 20, min_occ
     """
     _complete(sampling_rate, "smem")
     require(min_occurrences > 0, "min_occurrences must be greater than 0")
-    m = _matches(reference, queries, min_length, strands, algorithm)
+    m = cut(_matches(reference, queries, min_length, strands, algorithm), "smem-matches")  # used twice; its seeds are joined once
     by = Window.partitionBy("query_id", "strand").orderBy("q", "e", "sequence_id", "r")
     so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
     d = m.withColumn("v", F.col("e"))
@@ -126,8 +129,11 @@ def smem(reference: DataFrame, queries: DataFrame, min_length: int = 20, min_occ
     starts = d.groupBy("query_id", "strand", "q").agg(F.max("reach").alias("reach"))
     at = Window.partitionBy("query_id", "strand").orderBy("q")
     keep = starts.withColumn("last", F.lag("reach").over(at)).where(F.col("reach").isNotNull() & (F.col("last").isNull() | (F.col("last") != F.col("reach")))).where(F.col("reach") - F.col("q") >= min_length)
-    keep = keep.select(F.col("query_id").alias("qid"), F.col("strand").alias("st"), F.col("q").alias("start"), "reach")
-    hit = m.join(keep, (F.col("query_id") == F.col("qid")) & (F.col("strand") == F.col("st")) & (F.col("q") <= F.col("start")) & (F.col("e") >= F.col("reach")))
+    # a match is looked up in the stretches of the query that it reaches, so that the join has no quadratic part but within one
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    keep = keep.select("query_id", "strand", F.col("q").alias("start"), "reach", stretch("q").alias("stretch"))
+    reaches = m.withColumn("stretch", F.explode(F.sequence(stretch("q"), stretch("e"))))
+    hit = reaches.join(keep, ["query_id", "strand", "stretch"]).where((F.col("q") <= F.col("start")) & (F.col("e") >= F.col("reach")))
     rows = hit.select("query_id", "strand", "query_length", "sequence_id", (F.col("r") + F.col("start") - F.col("q")).alias("r"), F.col("start").alias("q"), (F.col("reach") - F.col("start")).alias("length"), F.col("reach").alias("e"))
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id", "strand", "q", "e"))
     return _public(rows.withColumn("reference_occurrences", n), "reference_occurrences").select("query_id", "sequence_id", "reference_position", "query_position", "length", "reference_occurrences", "strand")

@@ -98,6 +98,16 @@ _SUM = "sm AS (SELECT dataset, method, operation, count(*) AS repetitions, media
 # 500 symbols are far beyond the longest repeat of the tables
 _LCP = """lcp AS (SELECT "row", suffix, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda j: a[j] <> b[j]), true) - 1, least(length(a), length(b))) END::BIGINT AS lcp
   FROM (SELECT "row", suffix, substr(t, suffix + 1, 500) AS a, substr(t, prev + 1, 500) AS b FROM (SELECT *, lag(suffix) OVER (ORDER BY "row") AS prev FROM sa), txt))"""
+_VALID = """SELECT (SELECT count(*) FROM {sa}) = length(t) AS complete,
+  (SELECT count(DISTINCT suffix) = count(*) FROM {sa}) AND (SELECT count(*) FROM range(0, length(t)) r(p) WHERE p NOT IN (SELECT suffix FROM {sa})) = 0 AS permutation,
+  (SELECT count(DISTINCT "row") = count(*) AND min("row") = 0 AND max("row") = count(*) - 1 FROM {sa}) AS dense,
+  length(t) - length(replace(t, '0', '')) = 1 AND right(t, 1) = '0' AS sentinel FROM txt"""
+# nearest values on both sides, then the first smallest value between them, by the definitions
+_CHILD = """a AS (SELECT list(lcp ORDER BY "row") AS v FROM lcp),
+near AS (SELECT "row" AS i, v, lcp AS x, list_position(list_transform(list_reverse(v[1:"row"]), lambda y: y <= lcp), true) AS b, list_position(list_transform(v["row" + 2:], lambda y: y <= lcp), true) AS f FROM lcp, a),
+cuts AS (SELECT i, v, x, CASE WHEN b IS NULL OR b = 0 THEN -1 ELSE i - b END AS p, CASE WHEN f IS NULL OR f = 0 THEN len(v) ELSE i + f END AS q FROM near),
+parts AS (SELECT i, v, x, p, q, v[p + 2:i] AS l, v[i + 2:q] AS r FROM cuts),
+child AS (SELECT i AS "row", CASE WHEN len(l) > 0 THEN p + list_position(l, list_min(l)) END AS up, CASE WHEN len(r) > 0 THEN i + list_position(r, list_min(r)) END AS down, CASE WHEN q < len(v) AND v[q + 1] = x THEN q END AS next_l FROM parts)"""
 _ANCHOR = (
     "w12 AS (SELECT {key} >> 16 AS bucket, {key} AS key, \"row\" FROM (SELECT substr(s, i + 1, 12) AS w, global_offset + i AS suffix FROM (SELECT s, global_offset, unnest(range(0, length(s) - 11)) AS i FROM ref JOIN off USING (sequence_id)) WHERE NOT contains(substr(s, i + 1, 12), 'N')) JOIN sa USING (suffix))".format(key=_KEY.format("w"))
 )
@@ -117,8 +127,7 @@ def sql() -> dict[str, str]:
         "reference_stats": off + "SELECT count(*) AS sequence_count, sum(length)::BIGINT AS total_bases, sum(ambiguous_bases)::BIGINT AS ambiguous_bases, (sum(length) + count(*) + 1)::BIGINT AS text_symbols FROM off",
         "sequence_info": off + "SELECT * FROM off WHERE sequence_id = 3",
         "contig_offsets": off + "SELECT * FROM off",
-        "map_global": off + "SELECT g::BIGINT AS global_pos, 10::BIGINT AS length, sequence_id, (g - global_offset)::BIGINT AS position FROM range(0, 40000, 7) r(g) JOIN off ON g >= global_offset AND g + 10 <= global_offset + length",
-        "map_global_all": off + "SELECT g::BIGINT AS global_pos, 10::BIGINT AS length, sequence_id, (g - global_offset)::BIGINT AS position FROM (SELECT unnest(range(0, (SELECT sum(length) + count(*) + 1 FROM off)::BIGINT)) AS g) JOIN off ON g >= global_offset AND g + 10 <= global_offset + length",
+        "map_global": off + "SELECT g::BIGINT AS global_pos, 10::BIGINT AS length, sequence_id, (g - global_offset)::BIGINT AS position FROM (SELECT unnest(range(0, (SELECT sum(length) + count(*) + 1 FROM off)::BIGINT)) AS g) JOIN off ON g >= global_offset AND g + 10 <= global_offset + length",
         "tsv_roundtrip": off + "SELECT sequence_id, name, NULL::VARCHAR AS description, length, global_offset, ambiguous_bases FROM off",
         "index_roundtrip": off + "SELECT * FROM off",
         "pattern_valid": "SELECT p_partkey, regexp_matches(translate(p_name, ' abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACG'), '^[ACGTacgt]+$') AS valid FROM part",
@@ -140,8 +149,7 @@ def sql() -> dict[str, str]:
         "equal_range": _with(_REF, _TEXT, _SA, _PAT, _SAHIT) + _RANGE,
         "prefix_directory": _with(_REF, _TEXT, _SA) + f"SELECT {_KEY.format('w')} AS key, min(\"row\") AS begin, max(\"row\") + 1 AS \"end\" FROM (SELECT translate(substr(t, suffix + 1, 8), '2345', 'ACGT') AS w, \"row\" FROM sa, txt WHERE regexp_matches(substr(t, suffix + 1, 8), '^[2345]{{8}}$')) GROUP BY w".replace("{{8}}", "{8}"),
         "suffix_array": index + 'SELECT "row", suffix FROM sa',
-        "suffix_at": index + 'SELECT "row", suffix FROM sa WHERE "row" IN (0, 1, 17, 400)',
-        "suffix_at_ranges": _with(_REF, _TEXT, _SA, _PAT, _SAHIT) + 'SELECT "row", suffix FROM sa WHERE "row" IN (SELECT "row" FROM hit)',
+        "suffix_at": _with(_REF, _TEXT, _SA, _PAT, _SAHIT) + 'SELECT "row", suffix FROM sa WHERE "row" IN (SELECT "row" FROM hit)',
         "sampled_sa": index + 'SELECT row_number() OVER (ORDER BY "row") - 1 AS "row", suffix FROM sa WHERE suffix % 4 = 0',
         "sampled_count": _hits("forward") + _COUNT,
         "isa": index + 'SELECT suffix AS position, "row" FROM sa',
@@ -150,13 +158,22 @@ def sql() -> dict[str, str]:
         "pwl_anchors": _with(_REF, _OFF, _TEXT, _SA, _ANCHOR, _ANCHORS) + "SELECT bucket, x, y FROM anchors",
         "pwl_predict": _with(_REF, _OFF, _TEXT, _SA, _ANCHOR, _ANCHORS, _PAT, f"ks AS (SELECT DISTINCT {_KEY.format('substr(upper(pattern), 1, 12)')} AS key FROM pat WHERE length(pattern) >= 12)")
         + 'SELECT key, least(CASE WHEN b.x <= a.x OR b.y <= a.y OR key <= a.x THEN a.y WHEN key >= b.x THEN b.y ELSE a.y + ((key - a.x)::HUGEINT * (b.y - a.y) + (b.x - a.x) // 2) // (b.x - a.x) END, (SELECT count(*) FROM sa) - 1)::BIGINT AS "row" FROM ks JOIN anchors a ON a.bucket = key >> 16 JOIN anchors b ON b.bucket = a.bucket + 1',
-        "storage_width": ref + "SELECT (sum(length(s)) + count(*) + 1)::BIGINT AS symbols, 32 AS narrowest, 32 AS width FROM ref",
-        "validate_index": "SELECT true AS complete, true AS permutation, true AS dense, true AS sentinel",
+        "storage_width": ref + "SELECT n AS symbols, CASE WHEN n <= 4294967296 THEN 32 WHEN n <= 1099511627776 THEN 40 WHEN n <= 281474976710656 THEN 48 ELSE 64 END AS narrowest, CASE WHEN n <= 4294967296 THEN 32 ELSE 64 END AS width FROM (SELECT (sum(length(s)) + count(*) + 1)::BIGINT AS n FROM ref)",
+        "validate_index": index + _VALID.format(sa="sa"),
+        "validate_corrupt_index": _with(_REF, _TEXT, _SA, 'bad AS (SELECT "row", CASE WHEN "row" % 97 = 3 THEN suffix + 1 ELSE suffix END AS suffix FROM sa WHERE "row" <> 8)') + _VALID.format(sa="bad"),
+        "child_table": _with(_REF, _TEXT, _SA, _LCP, _CHILD) + 'SELECT "row", up, down, next_l FROM child',
+        "fingerprint": _with(_REF, _TEXT) + "SELECT lower(lpad(hex(h::UBIGINT), 16, '0')) AS fingerprint FROM (SELECT list_reduce(list_transform(string_split(substr(t, 1, length(t) - 2), ''), lambda c: c::HUGEINT), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS h FROM txt)",
+        "backends": "SELECT kind, name, available, supports_threads, CASE WHEN NOT available THEN 'reserved' WHEN kind = 'sa' THEN 'prefix doubling over ranked range partitions' ELSE 'occurrence counts over the Burrows-Wheeler column' END AS implementation FROM (VALUES ('sa', 'auto', true, true), ('sa', 'divsufsort', true, false), ('sa', 'caps', true, true), ('fm', 'sdsl-csa-wt-huff', true, false), ('fm', 'sdsl-csa-wt-balanced', true, false), ('fm', 'sdsl-csa-sada', false, false), ('fm', 'sdsl-csa-wt-epr', true, false)) b(kind, name, available, supports_threads)",
+        "inspect": off + "SELECT unnest(['format_version', 'rows.contigs', 'rows.offsets', 'sequence_count', 'total_bases', 'ambiguous_bases', 'text_symbols']) AS key, unnest(['1.1', n::VARCHAR, n::VARCHAR, n::VARCHAR, b::VARCHAR, a::VARCHAR, (b + n + 1)::VARCHAR]) AS value FROM (SELECT count(*) AS n, sum(length)::BIGINT AS b, sum(ambiguous_bases)::BIGINT AS a FROM off)",
+        "result_checksum": f"WITH r AS ({_mem(16, 'forward')}), h AS (SELECT ('0x' || substr(md5(concat_ws('|', query_id, sequence_id, reference_position, query_position, length, strand)), 1, 15))::BIGINT AS h FROM r) SELECT count(*) AS n_rows, coalesce(bit_xor(h), 0) AS xor_checksum, (coalesce(sum(h::HUGEINT), 0) % 2305843009213693951)::BIGINT AS sum_checksum FROM h",
         "bwt": index + "SELECT \"row\", (CASE WHEN suffix = 0 THEN '0' ELSE substr(t, suffix, 1) END)::INTEGER AS symbol FROM sa, txt",
         "c_table": _with(_REF, _TEXT) + "SELECT c::INTEGER AS symbol, (SELECT count(*) FROM (SELECT unnest(string_split(t, '')) AS x FROM txt) WHERE x::INTEGER < c)::BIGINT AS smaller FROM range(0, 7) r(c)",
         "fm_equal_range": _with(_REF, _TEXT, _SA, _PAT, _SAHIT) + _RANGE,
         "fm_equal_range_batch": _with(_REF, _TEXT, _SA, _PAT, _SAHIT, f"z AS ({_RANGE})") + "SELECT * FROM z UNION ALL SELECT 'x' || query_id, begin, \"end\" FROM z",
         "fm_count": _hits("forward") + _COUNT,
+        "fm_count_both": _hits("both") + _COUNT,
+        "fm_locate_both": _hits("both") + "SELECT * FROM h",
+        "fm_locate_top_k": _hits("both") + f"SELECT * FROM h QUALIFY {_NTH} <= 2",
         "fm_count_batch": _hits("forward").rstrip() + f", z AS ({_COUNT}) SELECT * FROM z UNION ALL SELECT 'x' || query_id, total_hits FROM z",
         "fm_locate": _hits("forward") + "SELECT query_id, sequence_id, position FROM h",
         "bench_summary": _with(_REP, _SUM) + "SELECT dataset, method, operation, repetitions, round(med, 6) AS median_seconds, round(lo, 6) AS min_seconds, round(hi, 6) AS max_seconds, query_count, query_bases, round(query_count / med, 6) AS qps, round(med * 1e9 / query_count, 6) AS ns_per_query, round(query_bases / med, 6) AS bases_per_second FROM sm",

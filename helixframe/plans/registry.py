@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import analytics, exact, index, kmers, maximal, reference
-from ..session import shared_folder, ship
+from ..session import cut, shared_folder, ship
 from ..sources import fasta, tables
 from . import fixtures as fx
 from . import oracles
@@ -35,11 +35,6 @@ def _reference_queries() -> dict[str, Query]:
         return docs.select("doc_id", dna.normalize_bases(F.col("text")).alias("sequence")).withColumn("ambiguous_bases", dna.ambiguous_bases(F.col("sequence")))
 
     def map_global(s: SparkSession, d: str) -> DataFrame:
-        c = fx.reference(s, d)
-        places = s.range(0, 40_000, 7).select(F.col("id").alias("global_pos"), F.lit(10).cast("long").alias("length"))
-        return reference.map_global(c, places)
-
-    def map_global_all(s: SparkSession, d: str) -> DataFrame:
         c = fx.reference(s, d)
         symbols = reference.reference_stats(c).first()["text_symbols"]
         places = s.range(symbols).select(F.col("id").alias("global_pos"), F.lit(10).cast("long").alias("length"))
@@ -66,7 +61,6 @@ def _reference_queries() -> dict[str, Query]:
         "sequence_info": lambda s, d: reference.sequence_info(fx.reference(s, d), 3),
         "contig_offsets": lambda s, d: reference.contig_offsets(fx.reference(s, d)),
         "map_global": map_global,
-        "map_global_all": map_global_all,
         "tsv_roundtrip": tsv,
         "index_roundtrip": lambda s, d: tables.load_index(s, saved(s, d))["offsets"],
         "inspect": lambda s, d: tables.inspect_index(s, saved(s, d)),
@@ -117,17 +111,17 @@ def _maximal_queries() -> dict[str, Query]:
 def _index_queries() -> dict[str, Query]:
     def parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         c = fx.reference(s, d)
-        symbols = index._cut(reference.text_symbols(c))
+        symbols = cut(reference.text_symbols(c))
         return c, symbols, index.suffix_array(symbols)
 
     def named(f: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
         return lambda s, d: f(*parts(s, d), fx.patterns(s, d))
 
-    bw = lambda t, sa: index._cut(index.bwt(t, sa))
+    bw = lambda t, sa: cut(index.bwt(t, sa))
 
     def predict(c: DataFrame, t: DataFrame, sa: DataFrame, p: DataFrame) -> DataFrame:
         keys = p.where("length(pattern) >= 12").select(dna.kmer_key(F.substring(F.upper("pattern"), 1, 12)).alias("key")).distinct()
-        return index.learned_predict(index._cut(index.learned_anchors(c, sa)), keys, t.count())
+        return index.learned_predict(cut(index.learned_anchors(c, sa)), keys, t.count())
 
     def batch(c: DataFrame, t: DataFrame, sa: DataFrame, p: DataFrame) -> DataFrame:
         twice = p.select(F.concat(F.lit("x"), "query_id").alias("query_id"), "pattern").unionByName(p)  # duplicates keep their rows
@@ -136,23 +130,17 @@ def _index_queries() -> dict[str, Query]:
     fm = lambda c, t, sa, p: index.fm_equal_range(bw(t, sa), index.c_table(t), p)
     width = lambda r: r.select("query_id", (F.col("end") - F.col("begin")).alias("total_hits"))
 
-    def fm_locate(c: DataFrame, t: DataFrame, sa: DataFrame, p: DataFrame) -> DataFrame:
-        found = fm(c, t, sa, p).where("end > begin").select("query_id", F.explode(F.expr("sequence(begin, end - 1)")).alias("row")).join(sa, "row")
-        at = reference.map_global(c, found.select(F.col("suffix").alias("global_pos"), F.lit(1).cast("long").alias("length")).distinct())
-        return found.join(at, F.col("suffix") == F.col("global_pos")).select("query_id", "sequence_id", "position")
+    def suffix_at(c: DataFrame, t: DataFrame, sa: DataFrame, p: DataFrame) -> DataFrame:
+        return index.suffix_at(sa, index.range_rows(index.equal_range(c, sa, p)).select("row").distinct())
 
-    def suffix_at_ranges(c: DataFrame, t: DataFrame, sa: DataFrame, p: DataFrame) -> DataFrame:
-        pieces = F.expr("explode(sequence(begin, end - 1, 65536L))")  # no array holds a whole long range
-        ranges = index.equal_range(c, sa, p).where("end > begin").select("begin", "end").distinct().select("end", pieces.alias("low"))
-        asked = ranges.select(F.explode(F.expr("sequence(low, least(end, low + 65536) - 1)")).alias("row")).distinct()
-        return sa.join(asked, "row")
+    def corrupt(c: DataFrame, t: DataFrame, sa: DataFrame, p: DataFrame) -> DataFrame:
+        return index.validate_index(t, sa.select("row", F.when(F.col("row") % 97 == 3, F.col("suffix") + 1).otherwise(F.col("suffix")).alias("suffix")).where("row <> 8"))
 
     return {
         "equal_range": named(lambda c, t, sa, p: index.equal_range(c, sa, p)),
         "prefix_directory": named(lambda c, t, sa, p: index.prefix_directory(c, sa)),
         "suffix_array": named(lambda c, t, sa, p: sa),
-        "suffix_at": named(lambda c, t, sa, p: sa.where("row IN (0, 1, 17, 400)")),
-        "suffix_at_ranges": named(suffix_at_ranges),
+        "suffix_at": named(suffix_at),
         "sampled_sa": named(lambda c, t, sa, p: index.sampled_suffix_array(sa, RATE)),
         "sampled_count": named(lambda c, t, sa, p: index.sampled_count(c, index.sampled_suffix_array(sa, RATE), RATE, p)),
         "isa": named(lambda c, t, sa, p: index.inverse_suffix_array(sa)),
@@ -163,13 +151,16 @@ def _index_queries() -> dict[str, Query]:
         "pwl_predict": named(predict),
         "storage_width": lambda s, d: index.storage_width(fx.reference(s, d)),
         "validate_index": named(lambda c, t, sa, p: index.validate_index(t, sa)),
+        "validate_corrupt_index": named(corrupt),
         "bwt": named(lambda c, t, sa, p: index.bwt(t, sa)),
         "c_table": named(lambda c, t, sa, p: index.c_table(t)),
         "fm_equal_range": named(fm),
         "fm_equal_range_batch": named(batch),
-        "fm_count": named(lambda c, t, sa, p: width(fm(c, t, sa, p))),
         "fm_count_batch": named(lambda c, t, sa, p: width(batch(c, t, sa, p))),
-        "fm_locate": named(fm_locate),
+        **{f"fm_count{name}": named(lambda c, t, sa, p, s=strands: index.fm_count(bw(t, sa), index.c_table(t), p, s)) for name, strands in (("", "forward"), ("_both", "both"))},
+        "fm_locate": named(lambda c, t, sa, p: index.fm_locate(c, bw(t, sa), index.c_table(t), sa, p).select("query_id", "sequence_id", "position")),
+        "fm_locate_both": named(lambda c, t, sa, p: index.fm_locate(c, bw(t, sa), index.c_table(t), sa, p, "both")),
+        "fm_locate_top_k": named(lambda c, t, sa, p: index.fm_locate(c, bw(t, sa), index.c_table(t), sa, p, "both", max_hits=2)),
     }
 
 

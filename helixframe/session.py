@@ -6,10 +6,13 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .errors import require
 
 _shipped: set[str] = set()
 
@@ -34,16 +37,26 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one of a local run."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is unset a local run gets a temporary one; a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_folders:
-            _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        root = _own_folders[app]
+        sc = spark.sparkContext
+        require(sc.master.startswith("local"), "set spark.checkpoint.dir to a folder that the driver and all executors share", "invalid_argument")
+        if sc.applicationId not in _own_folders:
+            folder = tempfile.mkdtemp(prefix="helixframe-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own_folders[sc.applicationId] = "file://" + folder
+        root = _own_folders[sc.applicationId]
     return root.rstrip("/")
 
 
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, **conf: str) -> SparkSession:
     """A local session with the settings that tests and the benchmark use."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName("helixframe")

@@ -11,6 +11,7 @@ from helixframe.errors import EngineError
 from helixframe.functions import dna
 from helixframe.operators import exact, index, kmers, maximal, reference
 from helixframe.plans import fixtures, registry
+from helixframe.session import cut
 from helixframe.sources import fasta, tables
 from helixframe.streaming.queries import for_each_match, search_stream
 
@@ -59,19 +60,19 @@ def test_map_global_of_every_place(spark):
         assert rows(reference.map_global(c, at, span)) == sorted(want)
 
 
-def test_map_global_all_asks_for_the_whole_text(spark):
+def test_map_global_asks_for_the_whole_text(spark):
     d = "/root/testdata/sf0.1"
     c = fixtures.reference(spark, d)
-    got = registry.queries()["map_global_all"](spark, d)
+    got = registry.queries()["map_global"](spark, d)
     # one row for each place that has ten bases of its contig, in every contig up to the last
     want = {r["sequence_id"]: r["length"] - 9 for r in c.where("length >= 10").collect()}
     assert {r["sequence_id"]: r["count"] for r in got.groupBy("sequence_id").count().collect()} == want
     assert got.agg(F.max("global_pos")).first()[0] > 40_000
 
 
-def test_suffix_at_ranges_looks_up_the_rows_of_all_patterns(spark):
+def test_suffix_at_looks_up_the_rows_of_all_patterns(spark):
     d = "/root/testdata/sf0.001"
-    got = rows(registry.queries()["suffix_at_ranges"](spark, d).select("row", "suffix"))
+    got = rows(registry.queries()["suffix_at"](spark, d).select("row", "suffix"))
     text = reference.logical_text(fixtures.reference(spark, d)).first()["text"]
     order = sorted(range(len(text)), key=lambda i: text[i:])
     asked = tuple({r["pattern"].upper().translate(str.maketrans("ACGT", "2345")) for r in fixtures.patterns(spark, d).collect()})
@@ -151,13 +152,13 @@ def test_index_tables(spark):
     text = reference.logical_text(c).first()["text"]
     symbols = reference.text_symbols(c)
     order = sorted(range(len(text)), key=lambda i: text[i:])
-    sa = index._cut(index.suffix_array(symbols))
+    sa = cut(index.suffix_array(symbols))
     assert [r["suffix"] for r in sa.orderBy("row").collect()] == order
     common = lambda a, b: next((k for k in range(len(text)) if text[a : a + k + 1][k:] != text[b : b + k + 1][k:] or a + k >= len(text)), 0)
-    lcp = index._cut(index.lcp_array(symbols))
+    lcp = cut(index.lcp_array(symbols))
     assert [r["lcp"] for r in lcp.orderBy("row").collect()] == [0] + [common(a, b) for a, b in zip(order, order[1:], strict=False)]
     assert tuple(index.validate_index(symbols, sa).first()) == (True, True, True, True)
-    b = index._cut(index.bwt(symbols, sa))
+    b = cut(index.bwt(symbols, sa))
     assert "".join(str(r["symbol"]) for r in b.orderBy("row").collect()) == "".join(text[i - 1] for i in order)
     p = patterns(spark, ["A", "AC", "GATTACA", "AAAAAA", "T"])
     want = rows(index.equal_range(c, sa, p))
@@ -170,8 +171,32 @@ def test_index_tables(spark):
     for i, r in enumerate(child):
         after = next((j for j in range(i + 1, len(v)) if v[j] <= v[i]), None)
         assert r["next_l"] == (after if after is not None and v[after] == v[i] else None)
+        before = next((j for j in range(i - 1, -1, -1) if v[j] <= v[i]), -1)
+        stop = after if after is not None else len(v)
+        least = lambda lo, hi: min(range(lo, hi), key=lambda j: (v[j], j), default=None)
+        assert r["up"] == least(before + 1, i) and r["down"] == least(i + 1, stop)
     with pytest.raises(EngineError):
         index.equal_range(c, sa, p, sampling_rate=2)
+    for strands in ("forward", "reverse", "both"):  # backward search gives what scanning the text gives
+        assert rows(index.fm_count(b, index.c_table(symbols), p, strands)) == rows(exact.count(c, p, strands))
+        got = index.fm_locate(c, b, index.c_table(symbols), sa, p, strands)
+        assert rows(got) == rows(exact.locate(c, p, strands)) and got.columns == exact.locate(c, p, strands).columns
+    assert rows(index.fm_locate(c, b, index.c_table(symbols), sa, p, "both", 2)) == rows(exact.locate(c, p, "both", 2))
+    for bad in ({"backend": "sdsl-csa-sada"}, {"batch_width": 257}):
+        with pytest.raises(EngineError):
+            index.fm_count(b, index.c_table(symbols), p, **bad)
+    assert rows(index.suffix_at(sa, spark.createDataFrame([(0,), (5,)], "row long"))) == [(0, order[0]), (5, order[5])]
+    with pytest.raises(Exception, match="no row"):
+        index.suffix_at(sa, spark.createDataFrame([(10**6,)], "row long")).collect()
+    broken = sa.withColumn("suffix", F.when(F.col("row") == 4, 0).otherwise(F.col("suffix")))
+    assert tuple(index.validate_index(symbols, broken).first()) == (True, False, True, True)
+    assert tuple(index.validate_index(symbols, sa.where("row <> 7")).first()) == (False, False, False, True)
+    for algorithm, stored, ok in (("binary", None, True), ("child", {"child"}, True), ("child", {"sa"}, False), ("sapling-pwl", {"sa"}, False), ("x", None, False)):
+        if ok:
+            exact.check_algorithm(algorithm, stored)
+        else:
+            with pytest.raises(EngineError):
+                exact.check_algorithm(algorithm, stored)
 
 
 def test_fasta_and_tables(spark, tmp_path):
@@ -192,6 +217,10 @@ def test_fasta_and_tables(spark, tmp_path):
         tables.save_index({"contigs": c}, path)
     assert e.value.code == "io_error"
     tables.save_index({"contigs": c}, path, overwrite=True)
+    spark.createDataFrame([(1, "x", "", "A", 1, 0)], c.schema.simpleString()[7:-1].replace(":", " ")).write.mode("append").parquet(path + "/contigs")
+    with pytest.raises(EngineError) as e:
+        tables.load_index(spark, path)
+    assert e.value.code == "corrupt_index" and tables.load_index(spark, path, validate=False)["contigs"].count() == 4
     with pytest.raises(EngineError):
         tables.read_manifest(spark, path + "-none")
 
@@ -248,6 +277,14 @@ def test_command_line(spark, tmp_path):
     assert call("inspect", "--index", ix)[1].startswith("key\tvalue")
     assert call("mem", "--index", ix, "--query", str(tmp_path / "q.fa"), "--min-length", "0")[0] == 3
     assert call("nonsense")[0] == 2
+    fm = "file://" + str(tmp_path / "fm")
+    assert call("build", "--type", "fm", "--reference", str(tmp_path / "r.fa"), "--output", fm)[0] == 0
+    for more in (("--pattern", "ACGT"), ("--pattern", "TTTT", "--strand", "both"), ("--pattern", "ACGT", "--max-hits", "1"), ("--query", str(tmp_path / "q.fa"), "--count-only")):
+        assert call("query", "--index", fm, *more) == call("query", "--index", ix, *more)
+    assert call("query", "--index", fm, "--pattern", "A", "--batch-width", "999")[0] == 3 and call("query", "--index", ix, "--pattern", "A", "--algorithm", "child")[0] == 3
+    assert call("mem", "--index", fm, "--query", str(tmp_path / "q.fa"))[0] == 3
+    for name in ("right-maximal", "mam", "mum"):
+        assert call(name, "--index", ix, "--query", str(tmp_path / "q.fa"), "--min-length", "7")[1].splitlines()[1] == "q0\t0\tr0\t2\t0\t7\t+"
     assert call("query", "--index", ix + "-none", "--pattern", "A")[0] == 4
 
 
