@@ -89,6 +89,22 @@ def lcp_array(symbols: DataFrame) -> DataFrame:
     return d.join(same, "row", "left").select("row", "suffix", (F.col("lcp") + F.coalesce("stop", "n", F.lit(0))).cast("long").alias("lcp"))
 
 
+def sampled_lcp(lcp: DataFrame, rate: int, rows_per_bucket: int = 1 << 16) -> DataFrame:
+    """(row, suffix, lcp) of the sampled suffix array: the smallest value from the row after the kept one before up to the row itself.
+
+    A row belongs to the next kept row, whose number is that of the kept rows before it. Kept rows are counted by buckets of
+    rows, so no task walks all rows and one window sees a number for each bucket.
+    """
+    require(rate >= 1, "sampling rate must be 1 at least")
+    d = cut(lcp.select("row", "suffix", "lcp", (F.col("suffix") % rate == 0).cast("long").alias("_k"), F.floor(F.col("row") / rows_per_bucket).alias("_b")))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("_b").agg(F.sum("_k").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum("_k").over(Window.partitionBy("_b").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
+    d = d.withColumn("_i", inside).join(sizes, "_b").groupBy((F.col("_before") + F.col("_i")).alias("row"))
+    kept = d.agg(F.max(F.when(F.col("_k") == 1, F.col("suffix"))).alias("suffix"), F.min("lcp").alias("_least")).where("suffix IS NOT NULL")
+    return kept.select("row", "suffix", F.when(F.col("row") == 0, F.lit(0)).otherwise(F.col("_least")).cast("long").alias("lcp"))
+
+
 def byte_coded_lcp(lcp: DataFrame) -> DataFrame:
     """(row, suffix, code, overflow): codes of a byte, 255 for larger values, which are kept beside it."""
     big = F.col("lcp") >= 255

@@ -153,3 +153,17 @@ def match_summary(matches: DataFrame, queries: DataFrame, max_matches: int | Non
         aggs.append(F.countDistinct("query_position", "length", "strand").alias("total_smems"))
     s = queries.select("query_id").join(matches.groupBy("query_id").agg(*aggs), "query_id", "left").fillna(0)
     return s.withColumn("truncated", F.lit(False) if max_matches is None else F.col("total_matches") > max_matches)
+
+
+def search_statistics(reference: DataFrame, queries: DataFrame, min_length: int = 20, strands: str = "forward") -> DataFrame:
+    """The work of a maximal search by query: words looked up, those without a place, pairs of equal words, matches.
+
+    Every query has a row; one without words has zeros. Query ids are unique.
+    """
+    _check(min_length, strands, "auto")
+    found = cut(seeds(reference, queries, min_length, strands), "seeds")
+    asked = words(strand_expand(queries.select("query_id", "sequence"), strands), ["query_id", "strand"], "sequence", min_length).groupBy("query_id").agg(F.count(F.lit(1)).alias("lookups"))
+    at = found.groupBy("query_id", "strand", "qpos").agg(F.count(F.lit(1)).alias("n")).groupBy("query_id").agg(F.count(F.lit(1)).alias("_full"), F.sum("n").alias("seeds"))
+    m = _islands(found, min_length, min_length).groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
+    d = queries.select("query_id").join(asked, "query_id", "left").join(at, "query_id", "left").join(m, "query_id", "left").fillna(0)
+    return d.select("query_id", "lookups", (F.col("lookups") - F.col("_full")).alias("empty_lookups"), "seeds", "matches")

@@ -117,6 +117,32 @@ def result_checksum(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor_checksum"), total.cast("long").alias("sum_checksum"))
 
 
+def ordered_checksum(counts: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row: rows taken in and FNV-1a-64, as 16 hex digits, of each query's number of hits followed by its hits, queries by id.
+
+    ``counts`` has query_id and total_hits, zeros included, ``hits`` query_id, sequence_id, position, length, strand. Each value
+    goes in as 8 bytes, lowest first; strands are 0, 1 and 2 for both. The order counts, so one task takes the sorted rows one after another.
+    """
+    prime, mask = 0x100000001B3, 2**64 - 1
+
+    def run(batches):
+        h, n = 0xCBF29CE484222325, 0
+        for pdf in batches:
+            for values in pdf["v"]:
+                n += len(values) > 0
+                for b in np.asarray(values, dtype="<i8").tobytes():
+                    h = ((h ^ b) * prime) & mask
+        yield pd.DataFrame({"n_rows": [n], "checksum": [f"{h:016x}"]})
+
+    strand = F.when(F.col("strand") == "+", 0).when(F.col("strand") == "-", 1).otherwise(2).cast("long")
+    place = ["sequence_id", "position", "length"]
+    head = counts.select("query_id", *[F.lit(-1).cast("long").alias(c) for c in (*place, "_s")], F.array(F.col("total_hits").cast("long")).alias("v"))
+    body = hits.select("query_id", *[F.col(c).cast("long").alias(c) for c in place], strand.alias("_s"), F.array(*[F.col(c).cast("long") for c in place], strand).alias("v"))
+    none = counts.sparkSession.range(1).select(F.lit(None).cast("string").alias("query_id"), *[F.lit(-1).cast("long").alias(c) for c in (*place, "_s")], F.array().cast("array<long>").alias("v"))
+    rows = none.unionByName(head).unionByName(body).repartition(1)  # a task runs even where nothing was asked.sortWithinPartitions("query_id", *place, "_s").select("v")
+    return rows.mapInPandas(run, "n_rows long, checksum string")
+
+
 def synthetic_reference(seed: int, contigs: int, bases: int, ambiguous: float = 0.001) -> list[tuple[int, str, str, str]]:
     """Records of random contigs for benchmarks: repeats of a template and islands of N."""
     rng, out = np.random.default_rng(seed), []

@@ -137,12 +137,22 @@ def sql() -> dict[str, str]:
         "kmers": ref + "SELECT sequence_id, i::BIGINT AS pos, w AS word FROM (SELECT sequence_id, i, substr(s, i + 1, 16) AS w FROM (SELECT sequence_id, s, unnest(range(0, length(s) - 15)) AS i FROM ref)) WHERE NOT contains(w, 'N')",
         "kmer_key": ref + f"SELECT sequence_id, i::BIGINT AS pos, {_KEY.format('w')} AS key FROM (SELECT sequence_id, i, substr(s, i + 1, 31) AS w FROM (SELECT sequence_id, s, unnest(range(0, length(s) - 30)) AS i FROM ref)) WHERE NOT contains(w, 'N')",
         "strand_expand": _with(_DOC, _strands("both")) + "SELECT query_id, strand, s AS sequence FROM q",
+        "ordered_checksum": _hits("both")
+        + """, v AS (SELECT query_id, -1 AS sequence_id, -1 AS position, -1 AS length, '' AS strand, [count(h.query_id)] AS v FROM pat LEFT JOIN h USING (query_id) GROUP BY query_id
+UNION ALL SELECT query_id, sequence_id, position, length, strand, [sequence_id, position, length, CASE strand WHEN '+' THEN 0 WHEN '-' THEN 1 ELSE 2 END] FROM h),
+a AS (SELECT count(*) AS n, flatten(list(v ORDER BY query_id, sequence_id, position, length, strand)) AS v FROM v),
+b AS (SELECT n, flatten(list_transform(v, lambda x: list_transform(range(0, 8), lambda k: ((x::BIGINT >> (8 * k)) & 255)::HUGEINT))) AS v FROM a)
+SELECT n AS n_rows, lower(lpad(hex(list_reduce(v, lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)::UBIGINT), 16, '0')) AS checksum FROM b""",
         "locate_top_k": _hits("both") + f"SELECT * FROM h QUALIFY {_NTH} <= 2",
         "locate_first": _hits("both") + f"SELECT query_id, sequence_id, position, length, strand FROM h QUALIFY {_NTH} = 1",
         "locate_count_only": _hits("both") + _COUNT,
         "locate_summary": _hits("both") + "SELECT pat.query_id, count(h.query_id) AS total_hits, count(h.query_id) > 1 AS truncated FROM pat LEFT JOIN h USING (query_id) GROUP BY pat.query_id",
         "right_maximal_sampled": _mem(16, "forward"),
         "mem_skip": _mem(16, "forward"),
+        "search_statistics": _with(*_seeds(16, "both"), "has AS (SELECT DISTINCT w FROM rk)")
+        + """SELECT doc.query_id, coalesce(l, 0) AS lookups, coalesce(e, 0) AS empty_lookups, coalesce(n, 0) AS seeds, coalesce(c, 0) AS matches FROM doc
+  LEFT JOIN (SELECT query_id, count(*) AS l, count(*) FILTER (has.w IS NULL) AS e FROM qk LEFT JOIN has ON qk.w = has.w GROUP BY query_id) USING (query_id)
+  LEFT JOIN (SELECT query_id, count(*) AS n FROM x GROUP BY query_id) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS c FROM m GROUP BY query_id) USING (query_id)""",
         "mem_top_k": _mem(12, "forward") + " QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY query_position, sequence_id, reference_position, length, strand) <= 3",
         "mem_summary": _with(*_seeds(16, "forward")) + "SELECT doc.query_id, count(m.query_id) AS total_matches, count(m.query_id) > 1 AS truncated FROM doc LEFT JOIN m USING (query_id) GROUP BY doc.query_id",
         "smem_summary": f"WITH z AS ({_smem(12, 'both', 2)}) SELECT doc_id::VARCHAR AS query_id, count(z.query_id) AS total_matches, count(DISTINCT (query_position, length, strand)) FILTER (z.query_id IS NOT NULL) AS total_smems, false AS truncated FROM documents LEFT JOIN z ON z.query_id = doc_id::VARCHAR GROUP BY doc_id",
@@ -154,6 +164,8 @@ def sql() -> dict[str, str]:
         "sampled_count": _hits("forward") + _COUNT,
         "isa": index + 'SELECT suffix AS position, "row" FROM sa',
         "lcp_array": _with(_REF, _TEXT, _SA, _LCP) + 'SELECT "row", suffix, lcp FROM lcp',
+        # by comparing the kept suffixes themselves, without the values between them
+        "sampled_lcp": _with(_REF, _TEXT, _SA, 'kept AS (SELECT row_number() OVER (ORDER BY "row") - 1 AS "row", suffix FROM sa WHERE suffix % 4 = 0)', _LCP.replace("FROM sa)", "FROM kept)")) + 'SELECT "row", suffix, lcp FROM lcp',
         "lcp_bytecoded": _with(_REF, _TEXT, _SA, _LCP) + 'SELECT "row", suffix, least(lcp, 255)::INTEGER AS code, CASE WHEN lcp >= 255 THEN lcp END AS overflow FROM lcp',
         "pwl_anchors": _with(_REF, _OFF, _TEXT, _SA, _ANCHOR, _ANCHORS) + "SELECT bucket, x, y FROM anchors",
         "pwl_predict": _with(_REF, _OFF, _TEXT, _SA, _ANCHOR, _ANCHORS, _PAT, f"ks AS (SELECT DISTINCT {_KEY.format('substr(upper(pattern), 1, 12)')} AS key FROM pat WHERE length(pattern) >= 12)")

@@ -82,6 +82,7 @@ def _exact_queries() -> dict[str, Query]:
     for strands in ("forward", "reverse", "both"):
         out[f"exact_count_{strands}"] = both(exact.count, strands=strands)
         out[f"exact_locate_{strands}"] = both(exact.locate, strands=strands)
+    out["ordered_checksum"] = lambda s, d: reference.ordered_checksum(out["exact_count_both"](s, d), out["exact_locate_both"](s, d))
     out["locate_top_k"] = both(exact.locate, strands="both", max_hits=2)
     out["locate_first"] = both(exact.locate_first, strands="both")
     out["locate_count_only"] = both(exact.count, strands="both")
@@ -102,6 +103,7 @@ def _maximal_queries() -> dict[str, Query]:
     out["mem_skip"] = run(maximal.mem, L_MEM, skip=3)
     for c in (1, 2, 3):
         out[f"smem_c{c}"] = run(maximal.smem, L_UNIQUE, "both", min_occurrences=c)
+    out["search_statistics"] = run(maximal.search_statistics, L_MEM, "both")
     out["mem_top_k"] = lambda s, d: maximal.top_matches(run(maximal.mem, L_UNIQUE)(s, d), 3)
     out["mem_summary"] = lambda s, d: maximal.match_summary(run(maximal.mem, L_MEM)(s, d), fx.queries(s, d), 1)
     out["smem_summary"] = lambda s, d: maximal.match_summary(run(maximal.smem, L_UNIQUE, "both", min_occurrences=2)(s, d), fx.queries(s, d))
@@ -145,6 +147,7 @@ def _index_queries() -> dict[str, Query]:
         "sampled_count": named(lambda c, t, sa, p: index.sampled_count(c, index.sampled_suffix_array(sa, RATE), RATE, p)),
         "isa": named(lambda c, t, sa, p: index.inverse_suffix_array(sa)),
         "lcp_array": named(lambda c, t, sa, p: index.lcp_array(t)),
+        "sampled_lcp": named(lambda c, t, sa, p: index.sampled_lcp(index.lcp_array(t), RATE)),
         "lcp_bytecoded": named(lambda c, t, sa, p: index.byte_coded_lcp(index.lcp_array(t))),
         "child_table": named(lambda c, t, sa, p: index.child_table(index.lcp_array(t))),
         "pwl_anchors": named(lambda c, t, sa, p: index.learned_anchors(c, sa)),

@@ -199,6 +199,44 @@ def test_index_tables(spark):
                 exact.check_algorithm(algorithm, stored)
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 1 << 16])
+def test_sampled_lcp_is_the_least_between_kept_rows(spark, bucket):
+    rng = random.Random(bucket)
+    values = [(i, p, 0 if i == 0 else rng.randint(0, 9)) for i, p in enumerate(rng.sample(range(60), 60))]
+    lcp = spark.createDataFrame(values, "row long, suffix long, lcp long")
+    for rate in (1, 2, 5, 59):
+        kept = [i for i, p, _ in values if p % rate == 0]
+        want = [(n, values[i][1], min(values[j][2] for j in range(kept[n - 1] + 1, i + 1)) if n else 0) for n, i in enumerate(kept)]
+        assert rows(index.sampled_lcp(lcp, rate, bucket)) == want
+    assert index.sampled_lcp(lcp.where("false"), 4, bucket).count() == 0
+    with pytest.raises(EngineError):
+        index.sampled_lcp(lcp, 0)
+
+
+def test_ordered_checksum_depends_on_order(spark):
+    c, p = contigs(spark, CORE), patterns(spark, ["AAA", "ACGT", "GTTT"])
+    hits, counts = exact.locate(c, p, "both"), exact.count(c, p, "both")
+    h, n = 0xCBF29CE484222325, 0
+    for q, total in rows(counts):
+        for values in [(total,)] + [(i, at, k, "+-b".index(s[0])) for _, i, at, k, s in rows(hits.where(F.col("query_id") == q).drop("sequence_name"))]:
+            n += 1
+            for b in b"".join(x.to_bytes(8, "little") for x in values):
+                h = ((h ^ b) * 0x100000001B3) % 2**64
+    assert tuple(reference.ordered_checksum(counts, hits).first()) == (n, f"{h:016x}")
+    swapped = F.when(F.col("query_id") == "AAA", "ACGT").when(F.col("query_id") == "ACGT", "AAA").otherwise(F.col("query_id"))
+    other = reference.ordered_checksum(counts.withColumn("query_id", swapped), hits.withColumn("query_id", swapped)).first()
+    assert other["n_rows"] == n and other["checksum"] != f"{h:016x}"
+    assert tuple(reference.ordered_checksum(counts.where("false"), hits.where("false")).first()) == (0, "cbf29ce484222325")
+
+
+def test_search_statistics(spark):
+    c, q = contigs(spark, ["GATTACAGATTACA", "ACGTN"]), queries(spark, ["CGATTACC", "ANACGT", "", "AC"])
+    # words of three bases: CGA GAT ATT TTA TAC ACC, then ACG CGT after the N
+    assert rows(maximal.search_statistics(c, q, 3)) == [("0", 6, 2, 8, 2), ("1", 2, 0, 2, 1), ("2", 0, 0, 0, 0), ("3", 0, 0, 0, 0)]
+    both = {r[0]: r[1] for r in rows(maximal.search_statistics(c, q, 3, "both"))}
+    assert both == {"0": 12, "1": 4, "2": 0, "3": 0}
+
+
 def test_fasta_and_tables(spark, tmp_path):
     text = ">chr1 first one\r\nACGT\nNN\n\n>chr2\nTT\n>empty\n"
     (tmp_path / "a.fa").write_text(text)
