@@ -139,7 +139,8 @@ def ordered_checksum(counts: DataFrame, hits: DataFrame) -> DataFrame:
     head = counts.select("query_id", *[F.lit(-1).cast("long").alias(c) for c in (*place, "_s")], F.array(F.col("total_hits").cast("long")).alias("v"))
     body = hits.select("query_id", *[F.col(c).cast("long").alias(c) for c in place], strand.alias("_s"), F.array(*[F.col(c).cast("long") for c in place], strand).alias("v"))
     none = counts.sparkSession.range(1).select(F.lit(None).cast("string").alias("query_id"), *[F.lit(-1).cast("long").alias(c) for c in (*place, "_s")], F.array().cast("array<long>").alias("v"))
-    rows = none.unionByName(head).unionByName(body).repartition(1)  # a task runs even where nothing was asked.sortWithinPartitions("query_id", *place, "_s").select("v")
+    # with the empty row a task runs even where nothing was asked
+    rows = none.unionByName(head).unionByName(body).repartition(1).sortWithinPartitions("query_id", *place, "_s").select("v")
     return rows.mapInPandas(run, "n_rows long, checksum string")
 
 
