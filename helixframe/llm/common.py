@@ -47,13 +47,14 @@ def lookup_join(df: DataFrame, small: DataFrame, key: str, max_rows: int = 20_00
 
     The lookup table is broadcast only after its rows have been counted and found to be at most
     ``max_rows``; beyond that both sides are joined by a salted key, so that one hot key is dealt to
-    ``salts`` tasks.
+    ``salts`` tasks. The salted table has ``salts`` rows for each one, of which Spark's estimate of its size
+    knows nothing: a sort-merge join is asked for, or the driver would be sent all of them to broadcast.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return df.join(F.broadcast(small), key, "left")
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
-    return left.join(salted, [key, "_salt"], "left").drop("_salt")
+    return left.join(salted.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
 def lower_ascii(col: Column) -> Column:

@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     band = lambda i: F.xxhash64(i, F.substring("sig", i * 2 * rows + 1, F.lit(2 * rows)))
     banded = classes.select("nid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
     shared = banded.groupBy("key").agg(F.min("nid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = write_table(banded.join(shared, "key").select("pivot", "nid", "key"), "members")
+    # Spark's estimate leaves out that a class has a row for each band, so it must not choose to broadcast these
+    members = write_table(banded.join(shared.hint("merge"), "key").select("pivot", "nid", "key"), "members")
     sets = _member_sets(docs, classes, members, width, max_broadcast)
 
     pairs = write_table(members.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct(), "pairs")

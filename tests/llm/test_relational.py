@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import chat, components, licenses, mixing, near_dedup, quality_rules, topk
-from helixframe.llm.common import lookup_join
+from helixframe.llm.common import lookup_join, write_table
 from helixframe.llm.near_dedup import least_matches
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,22 @@ def test_lookup_join_by_salts_and_by_broadcast(spark):
     assert rows_of(lookup_join(d, small, "k", max_rows=2)) == want and len(want) == 500
 
 
+def test_rows_made_by_explode_are_not_broadcast(spark, monkeypatch):
+    """Their tables pass for small ones: 64 rows a key of a lookup table, 32 of a class."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = write_table(spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v")), "small")
+    d = write_table(spark.range(900).select((F.col("id") % 400).alias("k"), "id"), "rows")
+    salted = lookup_join(d, small, "k", max_rows=100)
+    assert "Broadcast" in plan(lookup_join(d, small, "k")) and "Broadcast" not in plan(salted)
+    assert sorted((r.id, r.k, r.v) for r in salted.collect()) == [(i, i % 400, i % 400 * 3 if i % 400 < 300 else None) for i in range(900)]
+    plans = {}
+    monkeypatch.setattr(near_dedup, "write_table", lambda df, name: plans.setdefault(name, plan(df)) and write_table(df, name))
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]
+    got = near_dedup.near_duplicates(docs(spark, [*texts, *(f"{t} end" for t in texts)]), width=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i % 20) for i in range(40)}
+    assert "Broadcast" not in plans["members"]
+
+
 def rows_of(df):
     return sorted(map(str, (tuple(r) for r in df.select("k", "v", "_s", "name").collect())))
 
